@@ -97,3 +97,23 @@ def id_cells(df: DataFrame, id_col: str, rows_per_cell: int = 100_000, most: int
     while (high >> shift) - (low >> shift) >= most:
         shift += 1
     return F.coalesce(F.shiftright(F.col(id_col), shift) - F.lit(low >> shift), F.lit(-1)).cast("long"), rows
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session, once, so that they need no installation of their own."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if id(context) in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="millrace-code-")) / f"millrace-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(id(context))
