@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from millrace.llm import decision_list, feistel_shards, line_blocks, url_reputation
+from millrace.llm import decision_list, feistel_shards, line_blocks, oph_minhash, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
     "op2_feistel_shards": feistel_shards.op2_feistel_shards,
     "op4_decision_list": decision_list.op4_decision_list,
     "op5_line_blocks": line_blocks.op5_line_blocks,
+    "op6_oph_minhash": oph_minhash.op6_oph_minhash,
 }
 
 ORACLES = {
