@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decision_list, feistel_shards, line_blocks, oph_minhash, url_reputation
+from millrace.llm import decision_list, feistel_shards, line_blocks, oph_minhash, suffix_decontam, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_decision_list": decision_list.op4_decision_list,
     "op5_line_blocks": line_blocks.op5_line_blocks,
     "op6_oph_minhash": oph_minhash.op6_oph_minhash,
+    "op7_suffix_decontam": suffix_decontam.op7_suffix_decontam,
 }
 
 ORACLES = {
     "op1_url_reputation": url_reputation.ORACLE_SQL,
+    "op7_suffix_decontam": suffix_decontam.ORACLE_SQL,
 }
