@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decision_list, feistel_shards, line_blocks, oph_minhash, suffix_decontam, url_reputation
+from millrace.llm import decision_list, drr_packing, feistel_shards, line_blocks, oph_minhash, suffix_decontam, token_files, url_reputation
 
 QUERIES = {
     "op1_url_reputation": url_reputation.op1_url_reputation,
@@ -11,6 +11,8 @@ QUERIES = {
     "op5_line_blocks": line_blocks.op5_line_blocks,
     "op6_oph_minhash": oph_minhash.op6_oph_minhash,
     "op7_suffix_decontam": suffix_decontam.op7_suffix_decontam,
+    "op8_token_files": token_files.op8_token_files,
+    "op9_drr_packing": drr_packing.op9_drr_packing,
 }
 
 ORACLES = {
