@@ -1,7 +1,7 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped to lines (one per block of text; regions that are never article text, such as navigation, scripts
-or adverts, leave a gap of empty lines). Over windows of ``width`` lines the text lengths are summed: a stretch surges
+or adverts, leave a gap: one empty line within a container, else ``width``). Over windows of ``width`` lines the text lengths are summed: a stretch surges
 where the sum rises from zero and dives where it falls back to zero. Stretches whose highest sum reaches the surge height,
 or else the highest one, hold the text.
 """
@@ -35,6 +35,7 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHROME = frozenset("nav footer aside form button select menu dialog head fieldset search".split())
 _ROOTS = frozenset(("article", "main"))
+_CONTAINERS = frozenset("article div main section table td body".split())
 _ATTR = re.compile(r"\b(?:class|id|role|aria-label|data-role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|\baria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _CHROME_NAME = re.compile(
@@ -59,19 +60,28 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool]]:
     roots: list[bool] = []
     parts: list[str] = []
     skip, nested, depth = "", 0, 0
+    containers, number, last, pending = [0], 0, 0, False
+
+    def empty(n: int) -> None:
+        lines.extend([""] * n)
+        roots.extend([False] * n)
 
     def close() -> None:
+        nonlocal last, pending
         if parts:
             line = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if line:
+                if pending:  # within one container, something left out is no end of the stretch
+                    empty(1 if last == containers[-1] else width)
                 lines.append(line)
                 roots.append(depth > 0)
+                last, pending = containers[-1], False
 
     def gap() -> None:
+        nonlocal pending
         close()
-        lines.extend([""] * width)
-        roots.extend([False] * width)
+        pending = True
 
     for m in _TOKEN.finditer(page):
         text = m.group("text")
@@ -100,15 +110,21 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool]]:
             skip, nested = "", 0  # an element that was never closed ends where the article begins
             gap()
         if tag in _ROOTS:
-            gap()
+            close()
+            empty(width)
             depth = max(0, depth - 1) if closing else depth + 1
-            continue
         if not closing and tag not in _VOID and not attrs.endswith("/") and _is_chrome(tag, attrs, depth > 0):
             gap()
             skip, nested = tag, 1
             continue
         if tag in _BLOCKS:
             close()
+        if tag in _CONTAINERS:
+            if not closing:
+                number += 1
+                containers.append(number)
+            elif len(containers) > 1:
+                containers.pop()
     close()
     return lines, roots
 
