@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from millrace.llm import textcore as tc
 from millrace.llm.common import read, ship
@@ -25,8 +26,8 @@ WINDOW = 10
 BLOCK_BYTES = 16 << 20
 SHARD_BYTES = 4 << 20
 SPAN = "struct<item_id:long,item_start:long,start:long,length:long>"
-STATE = f"doc_id long, text string, hits binary, items array<long>, spans array<{SPAN}>"
-RESULT = f"doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<{SPAN}>"
+STATE = f"text string, hits binary, items array<long>, spans array<{SPAN}>"
+RESULT = f"n_words long, n_hit long, n_items long, items_sha256 string, spans array<{SPAN}>"
 _SPAN_TYPE = pa.struct([("item_id", pa.int64()), ("item_start", pa.int64()), ("start", pa.int64()), ("length", pa.int64())])
 
 
@@ -219,19 +220,36 @@ def _scan(block_value, last: bool):
                 spans = pa.array(out_spans, pa.list_(_SPAN_TYPE))
                 if not last:
                     yield pa.RecordBatch.from_arrays(
-                        [ids.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out_hits, pa.binary()), pa.array(out_items, pa.list_(pa.int64())), spans], names=["doc_id", "text", "hits", "items", "spans"]
+                        [ids.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out_hits, pa.binary()), pa.array(out_items, pa.list_(pa.int64())), spans], names=["row", "text", "hits", "items", "spans"]
                     )
                     continue
                 counts = [int(np.unpackbits(np.frombuffer(h, np.uint8)).sum()) for h in out_hits]
                 names = [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in out_items]
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(counts, pa.int64()), pa.array([len(x) for x in out_items], pa.int64()), pa.array(names), spans],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
+                    names=["row", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
                 )
 
     return run
 
 
+def _searched(rows: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """RESULT beside ``row`` for each row of (row, text); row may be of any type and is passed on as it is."""
+    spark = rows.sparkSession
+    ship(spark)
+    state = rows.select("row", F.col("text").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<long>").alias("items"), F.lit(None).cast(f"array<{SPAN}>").alias("spans"))
+    kind = rows.schema["row"]
+    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, window)]
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        state = state.mapInArrow(_scan(block, last), StructType([kind, *_parse(RESULT if last else STATE)]))
+    return state
+
+
+def _parse(ddl: str) -> StructType:
+    return StructType.fromDDL(ddl)
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and spans for each row of ``documents`` (doc_id, text).
 
@@ -241,14 +259,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     have no windows; items without id make hits but aren't named; repeated items and rows count as they are. Other columns
     are ignored. Nothing is shuffled: the broadcast blocks of items are bounded, and the documents stay where they are.
     """
-    spark = documents.sparkSession
-    ship(spark)
-    state = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<long>").alias("items"), F.lit(None).cast(f"array<{SPAN}>").alias("spans"))
-    blocks = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, window)]
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        state = state.mapInArrow(_scan(block, last), RESULT if last else STATE)
-    return state.withColumn("contaminated", F.col("n_hit") > 0)
+    rows = documents.select(F.col("doc_id").cast("long").alias("row"), F.col("text").alias("text"))
+    return _searched(rows, benchmark, window).withColumnRenamed("row", "doc_id").withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def op7_suffix_decontam(spark, sf_dir):
@@ -257,9 +269,10 @@ def op7_suffix_decontam(spark, sf_dir):
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``documents``, all columns, in which no window of a test item occurs."""
-    found = contamination(documents, benchmark, window).where("contaminated").select(F.col("doc_id").alias("__hit_id")).distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["__hit_id"]), "left_anti")
+    """The rows of ``documents``, all columns, in which no window of a test item occurs. Neither joined nor shuffled."""
+    own = documents.columns
+    rows = documents.toDF(*(f"c{k}" for k in range(len(own)))).select(F.struct("*").alias("row"), F.col(f"c{own.index('text')}").alias("text"))
+    return _searched(rows, benchmark, window).where("n_hit = 0").select("row.*").toDF(*own)
 
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
