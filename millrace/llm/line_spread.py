@@ -66,13 +66,13 @@ def _sized(df: DataFrame) -> DataFrame:
 def boilerplate(documents: DataFrame, sites: int) -> DataFrame:
     """(line hash, keeper) of the lines on ``sites`` distinct sites or more; keeper is the smallest doc_id that has the line.
 
-    A line in fewer rows than ``sites`` can't qualify. An estimate below half the threshold or above twice the threshold
-    decides; the lines between are counted exactly, by distinct (line, site).
+    A line in fewer rows than ``sites`` can't qualify. An estimate below a quarter of the
+    threshold or above twice the threshold decides; the lines between are counted exactly, by distinct (line, site).
     """
     lines = _lines(documents)
     found = written(sketched(lines, "line", "site").where(F.col("n") >= sites).select("line", "keeper", estimate().alias("sites")), "sketches")
     far = found.where(F.col("sites") > 2 * sites).select("line", "keeper")
-    near = written(found.where((F.col("sites") >= sites / 2) & (F.col("sites") <= 2 * sites)).select("line", "keeper"), "near-lines")
+    near = written(found.where((F.col("sites") >= sites / 4) & (F.col("sites") <= 2 * sites)).select("line", "keeper"), "near-lines")
     pairs = lines.join(_sized(near.select("line")), "line", "left_semi").where("site IS NOT NULL").select("line", "site").distinct()
     exact = pairs.groupBy("line").agg(F.count("*").alias("c")).where(F.col("c") >= sites)
     return written(far.union(near.join(exact.select("line"), "line", "left_semi")), "boilerplate")
