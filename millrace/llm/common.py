@@ -83,6 +83,10 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Cells that rows without id may be spread over, by the high bits of a 32-bit checksum: numbers -NULL_CELLS to -1.
+NULL_CELLS = 4_096
+
+
 def id_cells(df: DataFrame, id_col: str, rows_per_cell: int = 100_000, most: int = 65_536) -> tuple[Column, int]:
     """An order-keeping cell number for an integer column, and the number of rows.
 

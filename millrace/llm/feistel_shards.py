@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import id_cells, read
+from millrace.llm.common import NULL_CELLS, id_cells, read, written
 
 PRIME = 2_147_483_647
 ROUNDS = 6
@@ -78,13 +78,13 @@ def feistel_place(number: str, n: int, seed: int) -> Column:
 def number_rows(rows: DataFrame, order: list[str], cell: Column) -> DataFrame:
     """Adds row_number, counting from 0 over the whole table, by ``cell`` and then ``order``.
 
-    Rows are sorted within cells only; a cell's first number is a prefix sum over at most 65,537 cell counts.
+    Rows are sorted within cells only; a cell's first number is a prefix sum over at most 69,632 cell counts.
     """
     rows = rows.withColumn("cell", cell)
     counts = rows.groupBy("cell").agg(F.count("*").alias("cell_rows"))
     bases = counts.select("cell", (F.sum("cell_rows").over(Window.orderBy("cell")) - F.col("cell_rows")).alias("base"))
     within = F.row_number().over(Window.partitionBy("cell").orderBy(*order))
-    # broadcast: at most 65,537 rows of two longs, as id_cells bounds the number of cells
+    # broadcast: at most 69,632 rows of two longs, as id_cells bounds the number of cells
     return rows.withColumn("within", within).join(F.broadcast(bases), "cell").withColumn("row_number", F.col("base") + F.col("within") - 1).drop("cell", "within", "base")
 
 
@@ -92,11 +92,14 @@ def assign_shards(documents: DataFrame, shards: int, seed: int = 7) -> DataFrame
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, row_number for each row of ``documents`` (doc_id, text).
 
     size: UTF-8 bytes of the text (null: none) plus 16; a null or empty text has checksum 0. Rows without doc_id come
-    first. Equal rows get neighbouring numbers, and places of their own. An empty table gives no rows; other columns are ignored.
+    first, in cells by their checksum, so that many of them don't meet in one task. Texts are read once: their digests are
+    a written table that range, counts and numbers come from. Equal rows get neighbouring numbers, and places of their own. An empty table gives no rows; other columns are ignored.
     """
     raw = F.col("text").cast("binary")
-    digest = documents.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"))
-    cell, n = id_cells(documents.select("doc_id"), "doc_id")
+    digest = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"))
+    digest = written(digest, "digests")
+    cell, n = id_cells(digest, "doc_id")
+    cell = F.when(F.col("doc_id").isNull(), F.shiftright("text_crc32", 20) - NULL_CELLS).otherwise(cell)
     numbered = number_rows(digest, ["doc_id", "size", "text_crc32"], cell)
     placed = numbered.withColumn("place", feistel_place("row_number", max(n, 1), seed))
     return placed.select(
