@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import fresh_path, id_cells, posix_path, read, ship, written
+from millrace.llm.common import NULL_CELLS, fresh_path, id_cells, posix_path, read, ship, written
 from millrace.llm.wordcache import tokenizer
 
 NO_ID = -(2**63)
@@ -76,8 +76,8 @@ def _writer(folder: str, vocabulary: str, end_id: int):
 def write_token_files(documents: DataFrame, vocabulary: str, end_id: int = 0, shard_bytes: int = 256 << 20) -> tuple[str, DataFrame]:
     """Writes the files and returns their folder and the manifest (shard, n_docs, n_tokens, item_bytes, base).
 
-    ``documents`` has doc_id and text; a null or empty text has just the end id. Rows come in ascending doc_id, those
-    without id first, equal ids by text. A shard has about ``shard_bytes`` of text, less where all text is little; cells
+    ``documents`` has doc_id and text; a null or empty text has just the end id. Rows come in ascending doc_id, equal
+    ids by text, and those without id first, in cells by their checksum. A shard has about ``shard_bytes`` of text, less where all text is little; cells
     are the unit, so rows with one id stay together and are streamed. An empty table has an empty manifest.
     """
     spark = documents.sparkSession
@@ -86,15 +86,16 @@ def write_token_files(documents: DataFrame, vocabulary: str, end_id: int = 0, sh
     os.makedirs(folder, exist_ok=True)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     cell, _ = id_cells(texts.select("doc_id"), "doc_id", rows_per_cell=2_000)
-    texts = texts.withColumn("cell", cell)
+    by_text = F.shiftright(F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)), 20) - NULL_CELLS
+    texts = texts.withColumn("cell", F.when(F.col("doc_id").isNull(), by_text).otherwise(cell))
     sizes = written(texts.groupBy("cell").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), "cells")
     whole = sizes.agg(F.sum("size")).first()[0] or 1
     target = max(8 << 20, min(shard_bytes, whole // (4 * spark.sparkContext.defaultParallelism)))
-    # at most 65,537 rows of two longs, as id_cells bounds the number of cells
+    # at most 69,632 rows of two longs, as id_cells bounds the number of cells
     shard_of = sizes.select(F.col("cell").alias("c"), F.floor((F.sum("size").over(Window.orderBy("cell")) - F.col("size")) / target).cast("long").alias("shard"))
     count = (shard_of.agg(F.max("shard")).first()[0] or 0) + 1
-    placed = texts.join(F.broadcast(shard_of), F.col("cell") == F.col("c")).select("shard", "doc_id", "text")
-    ordered = placed.repartition(min(count, 100_000), "shard").sortWithinPartitions("shard", "doc_id", "text")
+    placed = texts.join(F.broadcast(shard_of), F.col("cell") == F.col("c")).select("shard", "cell", "doc_id", "text")
+    ordered = placed.repartition(min(count, 100_000), "shard").sortWithinPartitions("shard", "cell", "doc_id", "text").drop("cell")
     manifest = written(ordered.mapInArrow(_writer(folder, vocabulary, end_id), MANIFEST), "manifest")
     return folder, manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))
 
