@@ -19,6 +19,7 @@ FANOUT = 16
 #: Leaves of a file: 16 ** 7 ranges, 70 TB of bytes; a file's nodes never mix with another's below that level.
 FILE_LEAVES = FANOUT**7
 RECORDS_PER_FILE = 1_000
+NULL_FILES = 1_024
 
 
 def warc_record(record_id: Column, url: Column, payload: Column) -> Column:
@@ -87,14 +88,14 @@ def placed_records(pages: DataFrame, per_file: int = RECORDS_PER_FILE) -> DataFr
     """page_id, file, offset, length, digest, replica_length, replica_digest: pages as records of files of ``per_file`` ids.
 
     The replica is the same bytes with damage for the audit to find: of the pages with a page_id divisible by 101 the
-    payload is cut in half, by 103 its first letter e is changed, by 107 the record is missing. Rows without page_id share
-    file 0. Only ids, lengths and digests are shuffled.
+    payload is cut in half, by 103 its first letter e is changed, by 107 the record is missing. Rows without page_id lie
+    in the files below NULL_FILES by their checksum. Only ids, lengths and digests are shuffled.
     """
     page, url, body = F.col("page_id"), F.col("url"), F.coalesce(F.col("html"), F.lit(""))
     damaged = F.when(page % 101 == 0, F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))).when(page % 103 == 0, F.regexp_replace(body, "^([^e]*)e", "$1E")).otherwise(body)
     record, copy = warc_record(page, url, body), warc_record(page, url, damaged)
     own = pages.select(page.cast("long").alias("page_id"), url.alias("url"), F.col("html").alias("html")).select(
-        "page_id", F.coalesce(F.expr(f"page_id div {per_file}L") + 1, F.lit(0)).alias("file"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
+        "page_id", F.coalesce(F.expr(f"page_id div {per_file}L") + NULL_FILES, F.pmod(F.crc32(record.cast("binary")), F.lit(NULL_FILES))).alias("file"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"),
         F.when(F.coalesce(page % 107 != 0, F.lit(True)), F.octet_length(copy).cast("long")).alias("replica_length"), F.when(F.coalesce(page % 107 != 0, F.lit(True)), F.sha2(copy, 256)).alias("replica_digest"),
     )
     in_file = Window.partitionBy("file").orderBy("page_id", "length", "digest").rowsBetween(Window.unboundedPreceding, 0)
@@ -110,7 +111,7 @@ def op3_merkle_fixity(spark, sf_dir):
 
 
 ORACLE_SQL = r"""
-WITH p AS (SELECT page_id, coalesce(page_id // 1000 + 1, 0) AS file, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+WITH p AS (SELECT page_id, page_id // 1000 + 1024 AS file, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
 q AS (SELECT *, CASE WHEN page_id % 101 = 0 THEN substr(html, 1, (length(html) // 2)::BIGINT) WHEN page_id % 103 = 0 THEN regexp_replace(html, '^([^e]*)e', '\1E') ELSE html END AS copy FROM p),
 r AS (SELECT page_id, file, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head, chr(13) || chr(10) || chr(13) || chr(10) AS gap, html, copy FROM q),
