@@ -103,7 +103,7 @@ def id_cells(df: DataFrame, id_col: str, rows_per_cell: int = 100_000, most: int
     return F.coalesce(F.shiftright(F.col(id_col), shift) - F.lit(low >> shift), F.lit(-1)).cast("long"), rows
 
 
-_SHIPPED: set[int] = set()
+_SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -112,7 +112,7 @@ def ship(spark: SparkSession) -> None:
     from pathlib import Path
 
     context = spark.sparkContext
-    if id(context) in _SHIPPED:
+    if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
     target = Path(tempfile.mkdtemp(prefix="millrace-code-")) / f"millrace-{uuid.uuid4().hex[:8]}.zip"
@@ -120,4 +120,4 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(package.rglob("*.py")):
             z.write(path, path.relative_to(package.parent))
     context.addPyFile(str(target))
-    _SHIPPED.add(id(context))
+    _SHIPPED.add(context.applicationId)

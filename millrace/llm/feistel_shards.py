@@ -109,3 +109,29 @@ def assign_shards(documents: DataFrame, shards: int, seed: int = 7) -> DataFrame
 
 def op2_feistel_shards(spark, sf_dir):
     return assign_shards(read(spark, sf_dir, "documents"), shards=40)
+
+
+def _oracle(shards: int = 40, seed: int = 7) -> str:
+    """The same in DuckDB SQL: CRC-32 over the bytes by its table, the network unrolled, the walk as a recursion."""
+    table = []
+    for k in range(256):
+        for _ in range(8):
+            k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    step = "SELECT rn, x // b AS l, x % b AS r, walk, n, a, b FROM w WHERE walk = 0 OR x >= n"
+    for k, (m, c, d) in enumerate(_keys(seed)):
+        y = f"(((({'l' if k % 2 else 'r'} * {m} + {c}) % {PRIME}) * (({'l' if k % 2 else 'r'} * {m} + {c}) % {PRIME}) + {d}) % {PRIME})"
+        step = f"SELECT rn, {'l' if k % 2 else f'(l + {y}) % a'} AS l, {f'(r + {y}) % b' if k % 2 else 'r'} AS r, walk, n, a, b FROM ({step})"
+    return f"""
+WITH RECURSIVE tab AS (SELECT {table}::BIGINT[] AS tab),
+d AS (SELECT doc_id, (coalesce(strlen(text), 0) + 16)::BIGINT AS size, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE
+ xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda acc, y: xor(acc >> 8, tab[(xor(acc, y) & 255) + 1])), 4294967295::BIGINT) END AS text_crc32 FROM documents, tab),
+o AS (SELECT *, (row_number() OVER (ORDER BY doc_id, size, text_crc32) - 1)::BIGINT AS rn, (count(*) OVER ())::BIGINT AS n FROM d),
+g AS (SELECT *, ceil(sqrt(n))::BIGINT AS a FROM o),
+w AS (SELECT rn, rn AS x, 0 AS walk, n, a, ((n + a - 1) // a)::BIGINT AS b FROM g UNION ALL SELECT rn, l * b + r AS x, walk + 1 AS walk, n, a, b FROM ({step})),
+p AS (SELECT rn, x FROM w WHERE walk > 0 AND x < n)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (x % {shards})::INTEGER AS shard, (x // {shards})::BIGINT AS slot, NULL::INTEGER AS grown_shard, rn AS row_number FROM o JOIN p USING (rn)
+"""
+
+
+ORACLE_SQL = _oracle()

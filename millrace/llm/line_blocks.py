@@ -188,3 +188,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
 def op5_line_blocks(spark, sf_dir):
     return extract_main_text(read(spark, sf_dir, "pages"))
+
+
+#: Plain: the article element's blocks. It holds for pages with one article and the character references below.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1|br|div)[^>]*>') AS blocks FROM pages),
+t AS (SELECT page_id, url, list_transform(blocks, lambda x: trim(regexp_replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM a),
+j AS (SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)), '') AS text FROM t)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM j
+"""

@@ -190,3 +190,17 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80)
     """The rows of ``documents``, all columns, that aren't near-duplicates of a document with a smaller doc_id."""
     gone = near_duplicates(documents, size, percent).where("NOT kept").select(F.col("doc_id").alias("__gone_id")).distinct()
     return documents.join(gone, documents["doc_id"] == gone["__gone_id"], "left_anti")
+
+
+#: Plain: all pairs that share a shingle, and reachability. For small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS m FROM documents UNION SELECT e.b, r.m FROM r JOIN e ON r.a = e.a),
+m AS (SELECT a, min(m) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component_id = d.doc_id AS kept FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN m ON d.doc_id = m.a
+"""

@@ -19,7 +19,10 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_reputation": url_reputation.ORACLE_SQL,
+    "op2_feistel_shards": feistel_shards.ORACLE_SQL,
     "op3_merkle_fixity": warc_fixity.ORACLE_SQL,
+    "op5_line_blocks": line_blocks.ORACLE_SQL,
+    "op6_oph_minhash": oph_minhash.ORACLE_SQL,
     "op7_suffix_decontam": suffix_decontam.ORACLE_SQL,
     "op10_line_spread": line_spread.ORACLE_SQL,
 }
