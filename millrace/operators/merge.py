@@ -83,17 +83,19 @@ def merge(target: DataFrame, source: DataFrame, spec: MergeSpec) -> DataFrame:
 def merge_small_source(target: DataFrame, source: DataFrame, spec: MergeSpec, most_rows: int = 100_000) -> DataFrame:
     """merge() that leaves the target unshuffled while the source has at most ``most_rows`` rows, counted first.
 
-    Untouched rows are kept by an anti join against the broadcast source, and only matched ones are looked at; beyond the
-    bound it is the full outer join.
+    The target is joined to the broadcast source in one pass; a second pass over its keys finds the source's new rows.
+    Beyond the bound it is the full outer join. The source, one row per key, is kept while both passes use it.
     """
+    source = source.persist()
     if source.limit(most_rows + 1).count() > most_rows:
+        source.unpersist()
         return merge(target, source, spec)
     columns = target.columns
-    t, s = target.alias("t"), F.broadcast(source).alias("s")
-    untouched = t.join(s, _on(spec), "left_anti").select(*columns)
-    state = F.when(_holds(spec.delete), "drop").when(_holds(spec.update), "update").otherwise("keep")
-    matched = t.join(s, _on(spec), "inner").withColumn("__state", state).where("__state <> 'drop'")
-    kept = matched.select(*((F.col(f"t.`{c}`") if c == spec.key else F.when(F.col("__state") == "update", F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`"))).alias(c) for c in columns))
+    t, s = target.alias("t"), F.broadcast(source.withColumn("__s", F.lit(True))).alias("s")
+    matched = F.col("s.__s").isNotNull()
+    state = F.when(matched & _holds(spec.delete), "drop").when(matched & _holds(spec.update), "update").otherwise("keep")
+    old = t.join(s, _on(spec), "left").withColumn("__state", state).where("__state <> 'drop'")
+    kept = old.select(*((F.col(f"t.`{c}`") if c == spec.key else F.when(F.col("__state") == "update", F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`"))).alias(c) for c in columns))
     keys = target.select(*dict.fromkeys([spec.key, *spec.partition_keys, *spec.partition_values])).join(F.broadcast(source.select(F.col(spec.key).alias("__k")).distinct()), F.col(spec.key) == F.col("__k"), "left_semi").alias("t")
     new = source.alias("s").join(keys, _on(spec), "left_anti").where(_holds(spec.insert)).select(*columns)
-    return untouched.unionByName(kept).unionByName(new)
+    return kept.unionByName(new)

@@ -54,10 +54,17 @@ class VersionedTable:
     def exists(self) -> bool:
         return bool(self._versions())
 
+    def _text(self, path: str) -> str:
+        """A small file's text, read on the driver without a job."""
+        stream = self._fs.open(self._path(path))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def state(self, version: int | None = None) -> State:
         version = version if version is not None else self._versions()[-1]
-        text = "\n".join(r.value for r in self.spark.read.text(f"{self.path}/_meta/{version:09d}.json", wholetext=True).collect())
-        found = json.loads(text)
+        found = json.loads(self._text(f"{self.path}/_meta/{version:09d}.json"))
         return State(version, T.StructType.fromJson(found["schema"]), found["folders"], found["properties"])
 
     def _commit(self, state: State) -> State:
