@@ -309,3 +309,38 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_polling_moves_on_and_stops(spark, tmp_path):
+    import threading
+
+    from millrace.streaming.pipeline import ChangeSource, poll_once, run_backfill_merge, run_polling
+
+    rows = spark.createDataFrame([(str(v), v) for v in range(1, 10)], "merge_key string, createdon long")
+    t = VersionedTable(spark, f"file://{tmp_path}/t").create(rows.schema)
+    mark = lambda v: w.version_watermark(v, NOW)
+    stop = threading.Event()
+
+    def latest(before):
+        if before is not None and int(before.version) >= 9:
+            stop.set()
+        return mark(9)
+
+    between = lambda before, upto: rows.where((F.col("createdon") > (int(before.version) if before else 0)) & (F.col("createdon") <= int(upto.version)))
+    source = ChangeSource(latest, lambda before, top: mark(min(int(top.version), (int(before.version) if before else 0) + 4)), between, lambda before: before is None or int(before.version) != 4)
+    pipeline = Pipeline(t, m.upsert(), "createdon")
+    assert run_polling(pipeline, source, stop, seconds=0.01) == 3
+    assert sorted(r.createdon for r in t.read().collect()) == [1, 2, 3, 4, 9] and w.current(t) == mark(9) and poll_once(pipeline, source) is None
+    assert run_backfill_merge(pipeline, source, None) == mark(9) and t.read().count() == 9
+
+
+def test_metrics_listener():
+    from types import SimpleNamespace as N
+
+    from millrace.streaming.metrics import MetricsListener
+
+    sent = []
+    listener = MetricsListener(lambda *x: sent.append(x), {"stream_id": "s"})
+    listener.onQueryProgress(N(progress=N(numInputRows=5, batchDuration=7)))
+    listener.onQueryTerminated(N(exception=None))
+    assert listener.totals["rows_incoming"] == 5 and listener.totals["queries_ended"] == 1 and sent[0] == ("rows_incoming", 5, {"stream_id": "s"})
