@@ -9,7 +9,7 @@ from millrace.operators import merge as m
 from millrace.operators.reduce import latest_live, latest_per_key, latest_then_live
 from millrace.plans.registry import events, query, table
 
-SPLIT_US = 1_705_363_200_000_000  # 2024-01-16
+SPLIT, SPLIT_US = "TIMESTAMP_NTZ'2024-01-16 00:00:00'", 1_705_363_200_000_000
 _E = "SELECT event_id, epoch_us(ts) AS ts_us, user_id, event_type, value, props FROM events"
 
 
@@ -44,9 +44,9 @@ def _keyed(df):
 
 def event_sides(spark, sf_dir):
     """An earlier snapshot of live rows, and the later changes, both keyed and reduced."""
-    e = events(spark, sf_dir)
-    base = latest_live(_keyed(e.where(F.col("ts_us") < SPLIT_US)), "merge_key", "versionnumber", F.col("IsDelete"))
-    return base, latest_per_key(_keyed(e.where(F.col("ts_us") >= SPLIT_US)), "merge_key", "versionnumber")
+    e = table(spark, sf_dir, "events")  # the bound is on the stored column, so that it reaches the scan
+    base = latest_live(_keyed(e.where(f"ts < {SPLIT}")), "merge_key", "versionnumber", F.col("IsDelete"))
+    return base, latest_per_key(_keyed(e.where(f"ts >= {SPLIT}")), "merge_key", "versionnumber")
 
 
 def utf16_sha(expression: str) -> str:
