@@ -17,8 +17,8 @@ import numpy as np
 #: Parts in a generation of the cache; when it is full, it becomes the old one, from which parts in use are taken over.
 MOST_PARTS = 500_000
 SEPARATOR = "<|endoftext|>"
-#: A run of letters is one piece, so the library's merges can be called on it directly.
-_LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+#: A run of letters is one piece, so the library's merges can be called on it directly; so is a run of signs after it.
+_LETTERS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
 def _byte_characters() -> dict[int, str]:
@@ -41,6 +41,7 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         self.model = self.tokenizer.model
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.separator = self.tokenizer.token_to_id(SEPARATOR)
         #: Byte-level vocabularies keep a space with the word after it; the others drop white space.
         self.keeps_space = bool(self.tokenizer.encode(" ", add_special_tokens=False).ids)
@@ -64,37 +65,42 @@ class CachedTokenizer:
                 self.parts[part] = data[first * width : end * width]
                 first = end + 1
 
+    def _letters(self, part: str) -> bytes:
+        """The ids of a run of letters, after a space or not, straight from the library's merges."""
+        if self.keeps_space:
+            piece = "\u0120" + part[1:] if part.isascii() and part[0] == " " else part.encode().decode("latin-1").translate(_BYTES)
+        else:
+            piece = part.lower().encode().decode("latin-1").translate(_BYTES)
+        return array(self.code, [x.id for x in self.model.tokenize(piece)]).tobytes()
+
     def _learn(self, missing: set[str]) -> None:
-        """Finds the ids of parts; a point or comma after a letter is a piece of its own, and None marks an unsafe cut."""
+        """Finds the ids of parts; signs after letters are a piece of their own, and None marks an unsafe cut."""
         if len(self.parts) + len(missing) > MOST_PARTS:
             self.old, self.parts = self.parts, {}
-        stems, own = {}, set()
+        parts, old = self.parts, self.old
+        rest, joined = set(), []
         for part in missing:
-            if part in self.old:
-                self.parts[part] = self.old[part]
-                continue
-            inner = part[1:] if part[:1] == " " else part
-            if part == "\n" and self.keeps_space:
-                own.add(part)
-            elif not inner or inner != inner.strip() or SEPARATOR in part:
-                self.parts[part] = None
-            elif len(inner) > 2 and inner[-1] in ".," and inner[-2].isalpha():
-                stems[part] = part[:-1]
-                own.update((part[:-1], part[-1]))
-            else:
-                own.add(part)
-        rest, tokenize, code = [], self.model.tokenize, "H" if self.dtype.itemsize == 2 else "I"
-        for part in own:
-            if part in self.parts:
-                continue
-            if _LETTERS(part):
-                piece = (part if self.keeps_space else part.lower()).encode().decode("latin-1").translate(_BYTES)
-                self.parts[part] = array(code, [x.id for x in tokenize(piece)]).tobytes()
+            if part in old:
+                parts[part] = old[part]
+            elif m := _LETTERS(part):
+                stem, signs = m.groups()
+                if stem not in parts:
+                    parts[stem] = self._letters(stem)
+                if signs:
+                    joined.append((part, stem, signs))
+                    if signs not in parts:
+                        rest.add(signs)
             else:
-                rest.append(part)
-        self._library(rest)
-        for part, stem in stems.items():
-            self.parts[part] = self.parts[stem] + self.parts[part[-1]]
+                inner = part[1:] if part[:1] == " " else part
+                if part == "\n" and self.keeps_space:
+                    rest.add(part)
+                elif not inner or inner != inner.strip() or SEPARATOR in part:
+                    parts[part] = None
+                else:
+                    rest.add(part)
+        self._library([p for p in rest if p not in parts])
+        for part, stem, signs in joined:
+            parts[part] = parts[stem] + parts[signs]
 
     def _cut(self, text: str) -> list[str]:
         if self.keeps_space:
