@@ -3,7 +3,7 @@
 Markup is stripped to lines (one per block of text; regions that are never article text, such as navigation, scripts
 or adverts, leave a gap: one empty line within a container, else ``width``). Over windows of ``width`` lines the text lengths are summed: a stretch surges
 where the sum rises from zero and dives where it falls back to zero. Stretches whose highest sum reaches the surge height,
-or else the highest one, hold the text.
+or else the highest one, hold the text. Lines in article and main elements count double; they compete with all others.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import read, ship
 
-WIDTH, SURGE = 3, 80
+WIDTH, SURGE, ROOT_WEIGHT = 3, 80, 2
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 _TOKEN = re.compile(
@@ -43,14 +43,17 @@ _CHROME_NAME = re.compile(
     r"|comments?|commentlist|comment-list|respond|replies|reply|disqus|related|recommend\w*|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|footer|masthead|site-header|page-header|search|contentinfo|navigation|complementary|skip-link|paywall|tags?)(?:$|[\s_-])",
     re.I,
 )
+_COMMENT_NAME = re.compile(r"(?:^|\s)(?:div-)?(?:comments?|reply|replies)(?:[_-]+(?:body|content|entry|item|\d+))*(?:\s|$)", re.I)
 _SPACE = re.compile(r"\s+")
 
 
 def _is_chrome(tag: str, attrs: str, in_root: bool) -> bool:
     if tag in _CHROME or (tag == "header" and not in_root):
         return True
-    if not attrs or tag in _ROOTS or tag in ("html", "body"):
+    if not attrs or tag in ("main", "html", "body"):
         return False
+    if tag == "article":  # its other names say what it is about
+        return any(_COMMENT_NAME.search(m.group(1).strip("\"'")) for m in _ATTR.finditer(attrs))
     return any(_CHROME_NAME.search(m.group(1).strip("\"'")) for m in _ATTR.finditer(attrs)) or bool(_HIDDEN.search(attrs))
 
 
@@ -105,18 +108,18 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool]]:
                     skip = ""
                     gap()
                 continue
-            if not (tag in _ROOTS and not closing and not depth) and not (skip == "head" and tag == "body"):
+            if not (tag in _ROOTS and not closing and not depth and not _is_chrome(tag, attrs, False)) and not (skip == "head" and tag == "body"):
                 continue
             skip, nested = "", 0  # an element that was never closed ends where the article begins
             gap()
-        if tag in _ROOTS:
-            close()
-            empty(width)
-            depth = max(0, depth - 1) if closing else depth + 1
         if not closing and tag not in _VOID and not attrs.endswith("/") and _is_chrome(tag, attrs, depth > 0):
             gap()
             skip, nested = tag, 1
             continue
+        if tag in _ROOTS:
+            close()
+            empty(width)
+            depth = max(0, depth - 1) if closing else depth + 1
         if tag in _BLOCKS:
             close()
         if tag in _CONTAINERS:
@@ -154,17 +157,15 @@ def stretches(lengths: list[int], width: int = WIDTH) -> list[tuple[int, int, in
 def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
     """The article's blocks, one per line; empty for null, for an empty page and for one without text.
 
-    Where the page has article or main elements with text, only stretches within them compete.
+    The stretches of the whole page compete; a character in an article or main element counts ROOT_WEIGHT times.
     """
     if not page:
         return ""
     lines, roots = strip_markup(page, width)
-    if any(roots):
-        lines = [x if r else "" for x, r in zip(lines, roots, strict=True)]
-    found = stretches([len(x) for x in lines], width)
+    found = stretches([len(x) * (ROOT_WEIGHT if r else 1) for x, r in zip(lines, roots, strict=True)], width)
     if not found:
         return ""
-    tall = [s for s in found if s[2] >= surge] if not any(roots) else found
+    tall = [s for s in found if s[2] >= surge]
     return "\n".join(x for a, b, _ in tall or [max(found, key=lambda s: s[2])] for x in lines[a:b] if x)
 
 

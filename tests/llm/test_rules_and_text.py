@@ -111,6 +111,16 @@ def test_op5_edges(spark):
     assert lb.extract_main_text(df).count() == 6 and lb.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_op5_stretches_decide_beside_articles():
+    body = "A paragraph of the body with more than enough words in it to be the main text of this page."
+    teaser = "<article><h2>Teaser</h2><p>Read on.</p></article>"
+    assert lb.main_text(f"<body>{teaser}<div><p>{body}</p><p>Two. {body}</p></div></body>") == f"{body}\nTwo. {body}"
+    comment = f"<article class='comment' id='div-comment-7'><p>I disagree. {body}</p></article>"
+    assert lb.main_text(f"<body><article class='post'><p>{body}</p></article>{comment}</body>") == body
+    assert lb.main_text(f"<body><div><p>{body}</p></div><section class='comments'><h3>Two</h3>{comment}<p>Log in. {body}</p></section></body>") == body
+    assert lb.main_text(f"<body><div>{body[:60]}</div><article><p>{body[:60]}</p></article></body>") == body[:60]
+
+
 def test_op10_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     c = duckdb.connect()
