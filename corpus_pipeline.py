@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read, written
 from millrace.llm.decision_list import filter_quality
 from millrace.llm.drr_packing import pack, word_vocabulary
-from millrace.llm.line_spread import without_boilerplate
+from millrace.llm.line_spread import NOT_BLANK, without_boilerplate
 from millrace.llm.oph_minhash import drop_near_duplicates
 from millrace.llm.suffix_decontam import drop_contaminated
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; n_chars follows the text, and a text without words left goes."""
-    out = without_boilerplate(docs).where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
+    """Documents without cross-site boilerplate lines, short ones included; n_chars follows the text, and a text without words left goes."""
+    out = without_boilerplate(docs, counted=NOT_BLANK).where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]"))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from millrace.llm.common import read, written
 
 REGISTERS, RANKS = 32, 8
-#: Lines of four words or more; shorter ones recur by chance.
+#: Lines of four words or more, as the query's SQL counts, and all lines that aren't blank.
 FOUR_WORDS = r"(?:[^ \t\x0B\f\r]+[ \t\x0B\f\r]+){3}[^ \t\x0B\f\r]"
+NOT_BLANK = r"[^ \t\x0B\f\r]"
 MOST_BROADCAST_ROWS = 200_000
 
 
@@ -53,9 +54,9 @@ def estimate() -> Column:
     return F.when((raw <= 2.5 * REGISTERS) & (zeros > 0), REGISTERS * (math.log(REGISTERS) - F.log(zeros.cast("double")))).otherwise(raw)
 
 
-def _lines(documents: DataFrame) -> DataFrame:
+def _lines(documents: DataFrame, counted: str) -> DataFrame:
     lines = documents.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("site"), F.explode(F.split("text", "\n")).alias("line"))
-    return lines.where(F.col("line").rlike(FOUR_WORDS)).select("doc_id", "site", F.xxhash64("line").alias("line"))
+    return lines.where(F.col("line").rlike(counted)).select("doc_id", "site", F.xxhash64("line").alias("line"))
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -63,13 +64,13 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST_ROWS else df
 
 
-def boilerplate(documents: DataFrame, sites: int) -> DataFrame:
-    """(line hash, keeper) of the lines on ``sites`` distinct sites or more; keeper is the smallest doc_id that has the line.
+def boilerplate(documents: DataFrame, sites: int, counted: str = FOUR_WORDS) -> DataFrame:
+    """(line hash, keeper) of the lines that match ``counted`` and are on ``sites`` distinct sites or more; keeper is the smallest doc_id that has the line.
 
     A line in fewer rows than ``sites`` can't qualify. An estimate below a quarter of the
     threshold or above twice the threshold decides; the lines between are counted exactly, by distinct (line, site).
     """
-    lines = _lines(documents)
+    lines = _lines(documents, counted)
     found = written(sketched(lines, "line", "site").where(F.col("n") >= sites).select("line", "keeper", estimate().alias("sites")), "sketches")
     far = found.where(F.col("sites") > 2 * sites).select("line", "keeper")
     near = written(found.where((F.col("sites") >= sites / 4) & (F.col("sites") <= 2 * sites)).select("line", "keeper"), "near-lines")
@@ -78,22 +79,23 @@ def boilerplate(documents: DataFrame, sites: int) -> DataFrame:
     return written(far.union(near.join(exact.select("line"), "line", "left_semi")), "boilerplate")
 
 
-def without_boilerplate(documents: DataFrame, sites: int = 10) -> DataFrame:
+def without_boilerplate(documents: DataFrame, sites: int = 10, counted: str = FOUR_WORDS) -> DataFrame:
     """``documents`` (doc_id, text, source and any other columns) with cross-site boilerplate lines removed from text.
 
-    A line (split at \\n, compared whole) that has four words or more and occurs on ``sites`` distinct sources or more is
+    A line (split at \\n, compared whole) that matches ``counted`` (four words or more, or NOT_BLANK: every line but blank
+    ones, the distinct sources alone deciding) and occurs on ``sites`` distinct sources or more is
     removed everywhere but in the document with the smallest doc_id that has it, so nothing is lost altogether and one of
     a group of copies stays as it is. Other lines keep their order. Rows without source count for no site; rows without
     doc_id are no keepers unless no other has the line. Null and empty texts stay; repeated rows are treated alike; an
     empty table gives none. No row is dropped.
     """
-    flagged = boilerplate(documents, sites)
+    flagged = boilerplate(documents, sites, counted)
     hits = (
-        _lines(documents).join(_sized(flagged), "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        _lines(documents, counted).join(_sized(flagged), "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy(F.col("doc_id").alias("__hit_id")).agg(F.collect_set("line").alias("__hit_lines"))
     )
     marked = documents.join(hits, documents["doc_id"].eqNullSafe(hits["__hit_id"]), "left")
-    rest = F.array_join(F.filter(F.split(documents["text"], "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("__hit_lines"), F.xxhash64(x)) & x.rlike(FOUR_WORDS), F.lit(False))), "\n")
+    rest = F.array_join(F.filter(F.split(documents["text"], "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("__hit_lines"), F.xxhash64(x)) & x.rlike(counted), F.lit(False))), "\n")
     return marked.select(*(F.when(F.col("__hit_id").isNotNull() | F.col("__hit_lines").isNotNull(), rest).otherwise(documents["text"]).alias("text") if c == "text" else documents[c] for c in documents.columns))
 
 

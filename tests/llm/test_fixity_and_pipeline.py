@@ -67,6 +67,14 @@ def test_pipeline_stages(spark):
     assert last.where(F.col("n") != SEQUENCE).count() <= 1 and plain_hits("", [])[1] == 0
 
 
+def test_pipeline_removes_short_boilerplate(spark):
+    rows = [(k, f"Own {k}.\n\nAll rights reserved.\n著作権はすべて当社に帰属します。\nNine.", "en", f"site{k}", 0) for k in range(9)]
+    rows += [(k, f"Own {k}.\n\nAll rights reserved.\n著作権はすべて当社に帰属します。", "en", f"site{k}", 0) for k in range(9, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert got[0] == rows[0][1] and got[8] == "Own 8.\n\nNine." and got[11] == "Own 11.\n"
+
+
 def test_pipeline_run(spark, sf):
     whole = corpus_pipeline.run(spark, sf)
     assert whole.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(whole.columns)
