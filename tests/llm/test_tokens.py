@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -121,3 +122,41 @@ def test_rounds_with_tiny_queues():
             assert a // 2048 == (a + m - 1) // 2048
             seen[a : a + m] += 1
     assert (seen == 1).all()
+
+
+def test_op9_every_source_is_a_queue(spark):
+    """More sources than one level holds: each source keeps its own proportion, and a stated share counts for any of them."""
+    rows = [(k, " ".join(f"w{j}" for j in range(30 + k % 7)), f"s{k // 2}") for k in range(600)] + [(600, " ".join(f"long{j}" for j in range(9000)), "few rows")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    texts, source = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    pieces = dp.pack(df, dp.word_vocabulary(), sequence=1024).collect()
+    seqs = check_packing(pieces, texts, 1024)
+    assert len({p.queue for p in pieces}) == 301 and len({(source[p.doc_id], p.queue) for p in pieces}) == 301
+    total = Counter()
+    for p in pieces:
+        total[source[p.doc_id]] += p.length
+    for k in range(len(seqs) - 2):
+        here = Counter()
+        for p in seqs[k]:
+            here[source[p.doc_id]] += p.length
+        off = {s: abs(here[s] - 1024 * n / sum(total.values())) for s, n in total.items()}
+        assert off.pop("few rows") <= 302 and max(off.values()) <= 5
+    early = [p for p in dp.pack(df, dp.word_vocabulary(), sequence=1024, shares={"s299": 0.05}).collect() if p.sequence_id == 0]
+    assert abs(sum(p.length for p in early if source[p.doc_id] == "s299") - 51) <= 3
+    for wrong in ({"absent": 0.1}, {"s1": 0.0}, {"s1": 0.7, "s2": 0.6}):
+        with pytest.raises(ValueError):
+            dp.pack(df, dp.word_vocabulary(), shares=wrong)
+
+
+def test_tree_of_rounds_covers_every_place():
+    rng = np.random.default_rng(3)
+    sizes = (rng.pareto(1.5, 500) * 50).astype(np.int64) + 1
+    tree = dp.Tree(sizes, rng.integers(1, 1 << 22, 500), 256, fan_out=8)
+    queue = np.repeat(np.arange(500), 2)
+    half = sizes // 2
+    doc, begin, n, at = tree.pieces(queue, np.stack((0 * half, half), 1).ravel(), np.stack((half, sizes - half), 1).ravel())
+    seen = np.zeros(int(sizes.sum()), int)
+    for a, m in zip(at, n):
+        assert a // 256 == (a + m - 1) // 256
+        seen[a : a + m] += 1
+    assert (seen == 1).all()
