@@ -36,25 +36,50 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CHROME = frozenset("nav footer aside form button select menu dialog head fieldset search".split())
 _ROOTS = frozenset(("article", "main"))
 _CONTAINERS = frozenset("article div main section table td body".split())
-_ATTR = re.compile(r"\b(?:class|id|role|aria-label|data-role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|\baria-hidden\s*=\s*[\"']?true|display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
+_NAMED = ("class", "id", "role", "data-role")
+_CHROME_WORD = (
+    r"(?:ads?|adverts?|advertis\w*|adsense|adbox|sponsor\w*|promos?|promoted|promotions?|promotional|promobox|banner|cookies?|consent|gdpr|notices?|alerts?|disclaimer|sidebars?|side|rail|widgets?|navs?|navbar|navlinks?|navmenu|navigation|menus?"
+    r"|topbar|toolbar|breadcrumbs?|crumbs?|pagination|pager|comments?|commentlist|respond|replies|reply|disqus|related|recommend\w*|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|footer|masthead"
+    r"|(?:site|page)[_-]+header|search|contentinfo|complementary|skip[_-]+link|paywall|tags?)"
+)
+#: A whole name: chrome words, with words around them at most that say where or what kind of box it is.
 _CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|disclaimer|sidebars?|side|rail|widgets?|nav\w*|menus?|topbar|toolbar|breadcrumbs?|crumbs?|pagination|pager"
-    r"|comments?|commentlist|comment-list|respond|replies|reply|disqus|related|recommend\w*|share|sharing|social|newsletter|subscribe|subscription|signup|login|popup|modal|overlay|footer|masthead|site-header|page-header|search|contentinfo|navigation|complementary|skip-link|paywall|tags?)(?:$|[\s_-])",
+    rf"(?:(?:site|page|main|top|bottom|global|mobile|primary|secondary)[_-]+)*{_CHROME_WORD}(?:[_-]+{_CHROME_WORD})*(?:[_-]+(?:container|wrapper|wrap|box|area|bar|list|items?|links?|buttons?|icons?|block|section|inner|unit|slot|panel|form|posts?|articles?|body|\d+))*",
     re.I,
 )
-_COMMENT_NAME = re.compile(r"(?:^|\s)(?:div-)?(?:comments?|reply|replies)(?:[_-]+(?:body|content|entry|item|\d+))*(?:\s|$)", re.I)
+_COMMENT_NAME = re.compile(r"(?:div-)?(?:comments?|reply|replies)(?:[_-]+(?:body|content|entry|item|\d+))*", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for name, value in _ATTR.findall(attrs):
+        found.setdefault(name.lower(), html.unescape(value[1:-1] if value[:1] in ("'", '"') else value))
+    return found
+
+
+def _is_hidden(found: dict[str, str]) -> bool:
+    if found.get("hidden", "false").lower() != "false" or found.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    for declaration in found.get("style", "").lower().split(";"):
+        name, _, value = declaration.partition(":")
+        if (name.strip(), value.replace("!important", "").strip()) in (("display", "none"), ("visibility", "hidden")):
+            return True
+    return False
+
+
 def _is_chrome(tag: str, attrs: str, in_root: bool) -> bool:
     if tag in _CHROME or (tag == "header" and not in_root):
         return True
     if not attrs or tag in ("main", "html", "body"):
         return False
+    found = _attributes(attrs)
+    names = [x for k in _NAMED for x in found.get(k, "").split()]
     if tag == "article":  # its other names say what it is about
-        return any(_COMMENT_NAME.search(m.group(1).strip("\"'")) for m in _ATTR.finditer(attrs))
-    return any(_CHROME_NAME.search(m.group(1).strip("\"'")) for m in _ATTR.finditer(attrs)) or bool(_HIDDEN.search(attrs))
+        return any(_COMMENT_NAME.fullmatch(x) for x in names)
+    label = found.get("aria-label", "").strip()
+    return any(_CHROME_NAME.fullmatch(x) for x in names) or bool(_CHROME_NAME.fullmatch(label)) or _is_hidden(found)
 
 
 def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool]]:

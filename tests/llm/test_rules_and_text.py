@@ -121,6 +121,15 @@ def test_op5_stretches_decide_beside_articles():
     assert lb.main_text(f"<body><div>{body[:60]}</div><article><p>{body[:60]}</p></article></body>") == body[:60]
 
 
+def test_op5_leaves_out_whole_names_and_real_hiding_only():
+    kept = ["style='overflow:hidden'", 'class="overflow-hidden"', "data-x='a hidden thing'", "title='display:none'", 'class="content with-sidebar"', 'class="share-price"', "class=navy", "hidden=false"]
+    gone = ["hidden", "HIDDEN=''", "style='color:red; Display : none !important'", "style=visibility:hidden", "aria-hidden=true", 'class="x sidebar"', "id=site-footer", "class='cookie-notice'", "class='comment-list'", "role=navigation", "aria-label=Breadcrumb"]
+    for attrs in kept + gone:
+        text = lb.main_text(f"<body><div><p>Before.</p><div {attrs}>Inside.</div><p>After.</p></div></body>")
+        assert text == ("Before.\nInside.\nAfter." if attrs in kept else "Before.\nAfter."), attrs
+    assert lb.main_text("<p>See <a href='/hidden-gems'>hidden gems</a>.</p>") == "See hidden gems."
+
+
 def test_op10_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     c = duckdb.connect()
