@@ -21,9 +21,15 @@ from millrace.llm.common import read, ship
 WIDTH, SURGE, ROOT_WEIGHT = 3, 80, 2
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
+_BREAKS_OUT = "article|blockquote|body|br|center|div|dl|h[1-6]|head|hr|img|li|main|ol|p|pre|section|span|table|ul"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|object|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?:svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*/>"
+    # code runs to the end of the page if it isn't closed; of others only the tag is left out then
+    r"|<(?P<raw>script|style)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"|<(?P<other>noscript|template|textarea|iframe|object|title)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?</(?P=other)\s*>"
+    # in svg and math, a tag of html means that they weren't closed
+    rf"|<(?P<foreign>svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:[^<]|<(?!(?:{_BREAKS_OUT})[\s/>]))*?</(?P=foreign)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,

@@ -130,6 +130,13 @@ def test_op5_leaves_out_whole_names_and_real_hiding_only():
     assert lb.main_text("<p>See <a href='/hidden-gems'>hidden gems</a>.</p>") == "See hidden gems."
 
 
+def test_op5_unclosed_and_self_closed_elements():
+    for icon in ('<svg class="icon"/>', "<math/>", "<svg class=icon>", "<math>", "<svg viewBox='0 0 1 1'><path d='M0'/></svg>", "<math><mi>x</mi></math>", "<iframe src=x>", "<object data='y'>", "<svg><title>Icon</title><text>Label</text></svg>"):
+        for later in ("", "<div><svg><path/></svg></div>"):
+            assert lb.main_text(f"<body><div><p>Before {icon}</p><p>After.</p>{later}<p>End.</p></div></body>") == "Before\nAfter.\nEnd.", icon
+    assert lb.main_text("<p>Text.</p><script>if (a) { b = '<p>no</p>'") == "Text."
+
+
 def test_op10_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     c = duckdb.connect()
