@@ -3,7 +3,8 @@
 Markup is stripped to lines (one per block of text; regions that are never article text, such as navigation, scripts
 or adverts, leave a gap: one empty line within a container, else ``width``). Over windows of ``width`` lines the text lengths are summed: a stretch surges
 where the sum rises from zero and dives where it falls back to zero. Stretches whose highest sum reaches the surge height,
-or else the highest one, hold the text. Lines in article and main elements count double; they compete with all others.
+or else the highest one, hold the text, and with them the stretches beside them where only something left out lies
+between. Lines in article and main elements count double; they compete with all others.
 """
 
 from __future__ import annotations
@@ -88,17 +89,17 @@ def _is_chrome(tag: str, attrs: str, in_root: bool) -> bool:
     return any(_CHROME_NAME.fullmatch(x) for x in names) or bool(_CHROME_NAME.fullmatch(label)) or _is_hidden(found)
 
 
-def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool]]:
-    """Lines of text (empty for gaps), and for each whether it lies in an article or main element."""
+def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool | None]]:
+    """Lines of text (empty for gaps), and for each whether it lies in an article or main element; None at their edges."""
     lines: list[str] = []
-    roots: list[bool] = []
+    roots: list[bool | None] = []
     parts: list[str] = []
     skip, nested, depth = "", 0, 0
     containers, number, last, pending = [0], 0, 0, False
 
-    def empty(n: int) -> None:
+    def empty(n: int, root: bool | None = False) -> None:
         lines.extend([""] * n)
-        roots.extend([False] * n)
+        roots.extend([root] * n)
 
     def close() -> None:
         nonlocal last, pending
@@ -149,7 +150,7 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool]]:
             continue
         if tag in _ROOTS:
             close()
-            empty(width)
+            empty(width, None)
             depth = max(0, depth - 1) if closing else depth + 1
         if tag in _BLOCKS:
             close()
@@ -196,8 +197,12 @@ def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
     found = stretches([len(x) * (ROOT_WEIGHT if r else 1) for x, r in zip(lines, roots, strict=True)], width)
     if not found:
         return ""
-    tall = [s for s in found if s[2] >= surge]
-    return "\n".join(x for a, b, _ in tall or [max(found, key=lambda s: s[2])] for x in lines[a:b] if x)
+    least = min(surge, max(s[2] for s in found))
+    first = next(k for k, s in enumerate(found) if s[2] >= least)
+    tall = [s[2] >= surge or k == first for k, s in enumerate(found)]
+    joined = [None not in roots[a[1] : b[0]] for a, b in zip(found, found[1:], strict=False)]
+    taken = [t or (k > 0 and tall[k - 1] and joined[k - 1]) or (k < len(joined) and tall[k + 1] and joined[k]) for k, t in enumerate(tall)]
+    return "\n".join(x for (a, b, _), t in zip(found, taken, strict=True) if t for x in lines[a:b] if x)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -137,6 +137,15 @@ def test_op5_unclosed_and_self_closed_elements():
     assert lb.main_text("<p>Text.</p><script>if (a) { b = '<p>no</p>'") == "Text."
 
 
+def test_op5_short_stretches_beside_the_text():
+    body = "A paragraph of the body with more than enough words in it to be the main text of this page."
+    ad = "<aside>Buy this now.</aside>"
+    page = f"<div><p>Start.</p></div>{ad}<div><p>{body}</p></div>{ad}<div><p>The end.</p></div>"
+    assert lb.main_text(f"<body>{page}</body>") == f"Start.\n{body}\nThe end."
+    assert lb.main_text(f"<body><div>Far.</div>{ad}{page}</body>") == f"Start.\n{body}\nThe end."
+    assert lb.main_text(f"<body><div>Out.</div><article>{page}</article><div>Out.</div></body>") == f"Start.\n{body}\nThe end."
+
+
 def test_op10_equals_sql(spark):
     sf = "/root/testdata/sf0.01"
     c = duckdb.connect()
