@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import keys as k
-from millrace.functions.sizing import cost_shard_size_column, files_per_shard
+from millrace.functions.sizing import MOST_FILES_PER_SHARD, SHARD_BYTES, cost_shard_size_column
 from millrace.operators import reduce as r
 from millrace.operators.select import FieldRule, RowModifications, select_fields
 from millrace.plans.merges import utf16_sha
@@ -199,8 +199,8 @@ def shard_cost_size(spark, sf_dir):
 
 @query("SELECT p_size, least(floor(10737418240 / (p_size * 1048576.0)) + 1, 10000)::BIGINT AS files FROM (SELECT DISTINCT p_size FROM part)")
 def shard_files(spark, sf_dir):
-    sizes = [(x.p_size, files_per_shard(x.p_size * 1_048_576)) for x in table(spark, sf_dir, "part").select("p_size").distinct().orderBy("p_size").limit(1000).collect()]
-    return spark.createDataFrame(sizes, "p_size int, files long")
+    files = F.least(F.floor(F.try_divide(F.lit(float(SHARD_BYTES)), F.col("p_size") * 1_048_576.0)) + 1, F.lit(MOST_FILES_PER_SHARD))
+    return table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", files.cast("long").alias("files"))
 
 
 @query("SELECT user_id, list_sort(list(event_id)) AS event_id FROM events GROUP BY user_id")

@@ -30,3 +30,11 @@ def test_query_matches_duckdb(spark, sf, duck, name):
     expected = duck.sql(catalogue.ORACLES[name])
     assert sorted(found.columns) == sorted(expected.columns)
     assert canonical(found.collect(), found.columns) == canonical(expected.fetchall(), expected.columns)
+
+
+def test_shard_files_of_many_sizes(spark, tmp_path):
+    spark.range(1, 3001).selectExpr("cast(id as int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = catalogue.QUERIES["shard_files"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(catalogue.ORACLES["shard_files"]).fetchall()) and len(got) == 3000
