@@ -191,7 +191,7 @@ class VersionedTable:
         return gone
 
     def analyze(self, columns: Sequence[str] | None = None) -> dict[str, dict]:
-        """Nulls, distinct values (estimated), minimum and maximum of columns; kept as a property."""
+        """Values that aren't null and distinct values (estimated) of columns; kept as a property."""
         df = self.read()
         names = list(columns or df.columns)
         row = df.agg(*(x for c in names for x in (F.count(c).alias(f"n_{c}"), F.approx_count_distinct(c).alias(f"d_{c}")))).first()
