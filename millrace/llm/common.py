@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local master, as in tests, gets an own one where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="millrace-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -83,24 +87,34 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Cells that rows without id may be spread over, by the high bits of a 32-bit checksum: numbers -NULL_CELLS to -1.
-NULL_CELLS = 4_096
+#: Partitions of a table that is put in order; the driver samples 100 keys of each.
+MOST_RANGES = 10_000
 
 
-def id_cells(df: DataFrame, id_col: str, rows_per_cell: int = 100_000, most: int = 65_536) -> tuple[Column, int]:
-    """An order-keeping cell number for an integer column, and the number of rows.
+def in_order(df: DataFrame, order: Sequence[str], partitions: int) -> DataFrame:
+    """The rows in ascending order of ``order`` (nulls first), over range partitions of about equal numbers of rows.
 
-    Cells are equal stretches of ids (a shift of the id), at most ``most`` of them whatever the input's size, so that
-    tables with a row per cell have a proven bound. Cell -1 has the rows without id. One small aggregation finds the range.
+    Bounds are quantiles of a sample, so outliers and uneven keys don't crowd a partition; rows that are equal in all of
+    ``order`` are told apart by their place in the input, so a much repeated row is spread as well.
     """
-    low, high, rows = df.agg(F.min(id_col), F.max(id_col), F.count(F.lit(1))).first()
-    if low is None:
-        return F.lit(-1).cast("long"), rows
-    cells = max(16, min(most, rows // rows_per_cell))
-    shift = max(0, (high - low).bit_length() - (cells.bit_length() - 1))
-    while (high >> shift) - (low >> shift) >= most:
-        shift += 1
-    return F.coalesce(F.shiftright(F.col(id_col), shift) - F.lit(low >> shift), F.lit(-1)).cast("long"), rows
+    keys = [*order, "__place"]
+    return df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(max(1, min(MOST_RANGES, partitions)), *keys).sortWithinPartitions(*keys).drop("__place")
+
+
+def text_bytes(documents: DataFrame) -> int:
+    """UTF-8 bytes of all texts, and one a row."""
+    return documents.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` returns as a written table; the written tables that it made on the way are dropped."""
+    before = len(_OWNED)
+    out = Written(make(), name)
+    made, _OWNED[before:] = _OWNED[before:], [x for x in _OWNED[before:] if x[1] == out.path]
+    for spark, path in made:
+        if path != out.path:
+            discard(spark, path)
+    return out.df
 
 
 _SHIPPED: set[str] = set()

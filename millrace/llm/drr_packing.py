@@ -4,7 +4,7 @@ Every source is a queue of its documents' tokens. A round serves each queue in t
 quantum (its target share of a window) and it is served as many whole tokens as its deficit holds, in order, cutting
 documents where the deficit ends. The fraction left is carried into the next round. After r rounds a queue has been served
 floor(r * quantum) tokens, or all it has, so deficits need no running state: any task can compute where its tokens go
-from the queues' sizes and its documents' places in them, which are prefix sums over partitions. The rounds' output is cut
+from the queues' sizes and its documents' places in them, which are prefix sums over ranges of ids. The rounds' output is cut
 into full sequences; only the last one is padded. Beyond FAN_OUT sources, a group of small ones is a queue whose tokens
 come in the order of the group's own rounds, so the work per piece doesn't grow with the number of sources.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import read, ship, written
+from millrace.llm.common import in_order, read, ship, text_bytes, written
 from millrace.llm.wordcache import tokenizer
 
 SEQUENCE = 2048
@@ -196,11 +196,12 @@ def targets(sizes: np.ndarray, stated: Mapping[int, float]) -> np.ndarray:
     return out
 
 
-def pack(documents: DataFrame, vocabulary: str, end_id: int = 1, sequence: int = SEQUENCE, window: int | None = None, shares: Mapping[str, float] | None = None) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, end_id: int = 1, sequence: int = SEQUENCE, window: int | None = None, shares: Mapping[str, float] | None = None, task_bytes: int = 64 << 20) -> DataFrame:
     """The pieces of all rows of ``documents`` (doc_id, text, source), with their ids' checksum, sequence and offset.
 
     A round fills a window of ``window`` tokens (default: one sequence). Every source is a queue, numbered from the one
-    with the most tokens on; rows without source share one. ``shares`` gives the queues' parts of a window by source, the
+    with the most tokens on; rows without source share one. A queue's documents come in ascending doc_id (those without id
+    first, equal ids by their texts' checksums), however the input is cut into partitions. ``shares`` gives the queues' parts of a window by source, the
     others share what is left by their tokens; by default each queue's share of all tokens, so all last to the end. A share
     that can't be held (of a source without rows, not above 0, more than 1 together) is a ValueError; where the stated ones
     leave nothing, the others get the smallest quantum. A queue that is used up is skipped. A null or empty text is its end
@@ -209,7 +210,9 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int = 1, sequence: int =
     """
     spark = documents.sparkSession
     ship(spark)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").alias("text"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").alias("text"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("crc"))
+    whole = text_bytes(texts)
+    texts = in_order(texts, ["doc_id", "crc", "source"], -(-whole // max(4 << 20, min(task_bytes, whole // (4 * spark.sparkContext.defaultParallelism)))))
     encoded = written(texts.mapInArrow(_encoder(vocabulary, end_id), ENCODED), "encoded")
     parts = written(encoded.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n")), "queue-parts")
     numbered = F.row_number().over(Window.orderBy(F.desc("n"), F.asc_nulls_last("source"))) - 1

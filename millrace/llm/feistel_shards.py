@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import NULL_CELLS, id_cells, read, written
+from millrace.llm.common import in_order, read, written
 
 PRIME = 2_147_483_647
 ROUNDS = 6
@@ -75,32 +75,33 @@ def feistel_place(number: str, n: int, seed: int) -> Column:
     return F.expr(f"element_at(transform(array({once}), y -> if(y < {n}L, y, {walk.format('y')})), 1)")
 
 
-def number_rows(rows: DataFrame, order: list[str], cell: Column) -> DataFrame:
-    """Adds row_number, counting from 0 over the whole table, by ``cell`` and then ``order``.
+def number_rows(rows: DataFrame, order: list[str], n: int, rows_per_range: int = 100_000) -> DataFrame:
+    """The ``n`` rows with row_number, counting from 0 in the order of ``order``, as a written table and a broadcast of the ranges' sums.
 
-    Rows are sorted within cells only; a cell's first number is a prefix sum over at most 69,632 cell counts.
+    Range bounds are drawn anew whenever a plan runs, so the numbers within ranges are written before they're summed up.
     """
-    rows = rows.withColumn("cell", cell)
-    counts = rows.groupBy("cell").agg(F.count("*").alias("cell_rows"))
-    bases = counts.select("cell", (F.sum("cell_rows").over(Window.orderBy("cell")) - F.col("cell_rows")).alias("base"))
-    within = F.row_number().over(Window.partitionBy("cell").orderBy(*order))
-    # broadcast: at most 69,632 rows of two longs, as id_cells bounds the number of cells
-    return rows.withColumn("within", within).join(F.broadcast(bases), "cell").withColumn("row_number", F.col("base") + F.col("within") - 1).drop("cell", "within", "base")
+    place = F.monotonically_increasing_id()
+    ranged = in_order(rows, order, max(16, n // rows_per_range)).withColumn("__id", place)
+    # the high bits of the id are the range, the low 33 the row within it
+    placed = written(ranged.withColumns({"__range": F.shiftright("__id", 33), "__within": F.col("__id").bitwiseAND((1 << 33) - 1)}).drop("__id"), "numbered")
+    counts = placed.groupBy("__range").agg(F.count("*").alias("__n"))
+    bases = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__base"))
+    # broadcast: a row per range, of which there are MOST_RANGES at most
+    return placed.join(F.broadcast(bases), "__range").withColumn("row_number", F.col("__base") + F.col("__within")).drop("__range", "__within", "__base")
 
 
 def assign_shards(documents: DataFrame, shards: int, seed: int = 7) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, row_number for each row of ``documents`` (doc_id, text).
 
     size: UTF-8 bytes of the text (null: none) plus 16; a null or empty text has checksum 0. Rows without doc_id come
-    first, in cells by their checksum, so that many of them don't meet in one task. Texts are read once: their digests are
-    a written table that range, counts and numbers come from. Equal rows get neighbouring numbers, and places of their own. An empty table gives no rows; other columns are ignored.
+    first. Texts are read once: range bounds, counts and numbers come from a written table of their digests. Equal rows get
+    neighbouring numbers, and places of their own. An empty table gives no rows; other columns are ignored.
     """
     raw = F.col("text").cast("binary")
     digest = documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.coalesce(F.crc32(raw), F.lit(0)).cast("long").alias("text_crc32"))
     digest = written(digest, "digests")
-    cell, n = id_cells(digest, "doc_id")
-    cell = F.when(F.col("doc_id").isNull(), F.shiftright("text_crc32", 20) - NULL_CELLS).otherwise(cell)
-    numbered = number_rows(digest, ["doc_id", "size", "text_crc32"], cell)
+    n = digest.count()
+    numbered = number_rows(digest, ["doc_id", "size", "text_crc32"], n)
     placed = numbered.withColumn("place", feistel_place("row_number", max(n, 1), seed))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), (F.col("place") % shards).cast("int").alias("shard"), F.expr(f"place div {shards}L").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "row_number",

@@ -8,19 +8,9 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_rng = np.random.default_rng(20_240_901)
-_BYTE_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = U64(0x9E3779B97F4A7C15)
-
-
-def _powers(n: int) -> np.ndarray:
-    out = np.ones(n, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        out[1:] = np.multiply.accumulate(np.full(n - 1, _BASE | U64(1), dtype=np.uint64))
-    return out
-
-
-_POWERS = _powers(4096)
+#: Bytes hashed by a table of their own per place; longer spans are taken in blocks of so many.
+PLACES = 64
+_TABLE = np.random.default_rng(20_240_901).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
 
 
 def _byte_class(members) -> np.ndarray:
@@ -87,18 +77,31 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans (all of them non-empty)."""
-    global _POWERS
+    """64-bit hashes of the byte spans (all of them non-empty).
+
+    Each byte has a random number per place in a block of PLACES bytes; a block's sum is mixed with its number, and the
+    sum of the blocks with the length, so that no pattern of repeated bytes cancels out.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
-    base = np.cumsum(lengths) - lengths
-    within = np.arange(int(base[-1] + lengths[-1])) - np.repeat(base, lengths)
-    longest = int(lengths.max())
-    powers = _POWERS if longest <= len(_POWERS) else _powers(longest)
+    blocks = (lengths + (PLACES - 1)) // PLACES
+    if int(blocks.max()) == 1:
+        begin, size, number, first = starts, lengths, None, None
+    else:
+        first = np.cumsum(blocks) - blocks
+        number = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        begin = np.repeat(starts, blocks) + number * PLACES
+        size = np.minimum(np.repeat(ends, blocks) - begin, PLACES)
+    base = np.cumsum(size) - size
+    shift = np.repeat(begin - base, size)
+    at = np.arange(len(shift))
+    within = at - np.repeat(base, size)
     with np.errstate(over="ignore"):
-        terms = _BYTE_VALUES[data[np.repeat(starts, lengths) + within]] * powers[within]
-        return mix(np.add.reduceat(terms, base) + lengths.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
+        sums = np.add.reduceat(_TABLE[(within << 8) + data[at + shift]], base)
+        if number is not None:
+            sums = np.add.reduceat(mix(sums + mix(number.astype(np.uint64) * U64(0xA24BAED4963EE407))), first)
+        return mix(sums + lengths.astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:

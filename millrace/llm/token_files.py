@@ -1,10 +1,10 @@
 """Flat token files: unsigned integers, 64-bit document offsets, memory-mapped readers.
 
-Documents are cut into shards along ascending ids by a prefix sum over cells of ids; each shard is one task's file:
-``.bin`` has the ids of its documents end to end (16 bits where the vocabulary allows, else 32), ``.off`` one 64-bit
-offset more than documents, ``.doc`` their doc_ids. The manifest has a row per shard; its base, the number of ids in all
-shards before it, is a prefix sum of the shards' sizes. A file is written under a name of its own and renamed when whole,
-so a task that runs again leaves the same files.
+Documents are put into ranges of ascending ids, a task each, which writes one or more files (shards): ``.bin`` has the ids
+of its documents end to end (16 bits where the vocabulary allows, else 32), ``.off`` one 64-bit offset more than documents,
+``.doc`` their doc_ids. The manifest has a row per shard; its base, the number of ids in all shards before it, is a prefix
+sum of the shards' sizes. A file is written under a name of its own and renamed when whole, so a task that runs again
+leaves the same files.
 """
 
 from __future__ import annotations
@@ -16,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import NULL_CELLS, fresh_path, id_cells, posix_path, read, ship, written
+from millrace.llm.common import fresh_path, in_order, posix_path, read, ship, text_bytes
 from millrace.llm.wordcache import tokenizer
 
 NO_ID = -(2**63)
+#: A task's shards are numbered from its own number times this on.
+FILES_PER_TASK = 100_000
 MANIFEST = "shard long, n_docs long, n_tokens long, item_bytes long"
 
 
@@ -33,71 +36,71 @@ def byte_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _writer(folder: str, vocabulary: str, end_id: int):
+def _writer(folder: str, vocabulary: str, end_id: int, shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(vocabulary)
         end = np.array([end_id], tok.dtype).tobytes()
-        width = tok.dtype.itemsize
-        shard, names, files, docs, total = None, [], [], 0, 0
+        width, part, mark = tok.dtype.itemsize, TaskContext.get().partitionId(), uuid.uuid4().hex
+        shard, names, files, docs, total = part * FILES_PER_TASK, [], [], 0, 0
 
         def close() -> pa.RecordBatch:
+            nonlocal shard, docs, total
             for f, (temporary, final) in zip(files, names, strict=True):
                 f.close()
                 os.replace(temporary, final)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, docs, total, width)], names=["shard", "n_docs", "n_tokens", "item_bytes"])
+            row = [pa.array([x], pa.int64()) for x in (shard, docs, total, width)]
+            files.clear()
+            shard, docs, total = shard + 1, 0, 0
+            return pa.RecordBatch.from_arrays(row, names=["shard", "n_docs", "n_tokens", "item_bytes"])
 
         for batch in batches:
-            shards = batch.column(0).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate(([True], shards[1:] != shards[:-1])))
-            for a, b in zip(starts, [*starts[1:], len(shards)], strict=True):
-                if shards[a] != shard:
-                    if shard is not None:
-                        yield close()
-                    shard, docs, total = int(shards[a]), 0, 0
-                    mark = uuid.uuid4().hex
-                    names = [(f"{folder}/{mark}.{x}", f"{folder}/shard-{shard:06d}.{x}") for x in ("bin", "off", "doc")]
-                    files = [open(x, "wb", buffering=1 << 20) for x, _ in names]  # noqa: SIM115
+            for first in range(0, batch.num_rows, 500):
+                rows = batch.slice(first, 500)
+                if not files:
+                    names = [(f"{folder}/{mark}.{x}", f"{folder}/shard-{shard:09d}.{x}") for x in ("bin", "off", "doc")]
+                    files.extend(open(x, "wb", buffering=1 << 20) for x, _ in names)  # noqa: SIM115
                     files[1].write(np.int64(0).tobytes())
-                for first in range(a, b, 500):
-                    last = min(b, first + 500)
-                    ids = batch.column(1).slice(first, last - first).fill_null(NO_ID)
-                    encoded = [x + end for x in tok.encode([t or "" for t in batch.column(2).slice(first, last - first).to_pylist()])]
-                    ends = total + np.cumsum([len(x) // width for x in encoded])
-                    files[0].write(b"".join(encoded))
-                    files[1].write(ends.astype("<i8").tobytes())
-                    files[2].write(ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                    docs, total = docs + len(encoded), int(ends[-1])
-        if shard is not None:
+                ids = rows.column(0).fill_null(NO_ID)
+                encoded = [x + end for x in tok.encode([t or "" for t in rows.column(1).to_pylist()])]
+                ends = total + np.cumsum([len(x) // width for x in encoded])
+                files[0].write(b"".join(encoded))
+                files[1].write(ends.astype("<i8").tobytes())
+                files[2].write(ids.to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                docs, total = docs + len(encoded), int(ends[-1])
+                if total * width >= shard_bytes:
+                    yield close()
+        if files:
             yield close()
 
     return run
 
 
-def write_token_files(documents: DataFrame, vocabulary: str, end_id: int = 0, shard_bytes: int = 256 << 20) -> tuple[str, DataFrame]:
+def write_token_files(documents: DataFrame, vocabulary: str, end_id: int = 0, shard_bytes: int = 256 << 20, destination: str | None = None, task_bytes: int = 64 << 20) -> tuple[str, DataFrame]:
     """Writes the files and returns their folder and the manifest (shard, n_docs, n_tokens, item_bytes, base).
 
-    ``documents`` has doc_id and text; a null or empty text has just the end id. Rows come in ascending doc_id, equal
-    ids by text, and those without id first, in cells by their checksum. A shard has about ``shard_bytes`` of text, less where all text is little; cells
-    are the unit, so rows with one id stay together and are streamed. An empty table has an empty manifest.
+    ``documents`` has doc_id and text; a null or empty text has just the end id. Rows come in ascending doc_id, those
+    without id first, equal ids by their texts' checksums. A task takes a range of about ``task_bytes`` of text (more where
+    that would be over MOST_RANGES ranges) and begins another file when one has ``shard_bytes`` of ids; shards are numbered
+    in order, with gaps. Files and manifest (``manifest`` below the folder) stay in ``destination``, a new folder that all
+    nodes have mounted; without one they lie in the session's shared folder and go with the session. An empty table has an
+    empty manifest; other columns are ignored.
     """
     spark = documents.sparkSession
     ship(spark)
-    folder = posix_path(fresh_path(spark, "tokens"))
-    os.makedirs(folder, exist_ok=True)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    cell, _ = id_cells(texts.select("doc_id"), "doc_id", rows_per_cell=2_000)
-    by_text = F.shiftright(F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)), 20) - NULL_CELLS
-    texts = texts.withColumn("cell", F.when(F.col("doc_id").isNull(), by_text).otherwise(cell))
-    sizes = written(texts.groupBy("cell").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")), "cells")
-    whole = sizes.agg(F.sum("size")).first()[0] or 1
-    target = max(8 << 20, min(shard_bytes, whole // (4 * spark.sparkContext.defaultParallelism)))
-    # at most 69,632 rows of two longs, as id_cells bounds the number of cells
-    shard_of = sizes.select(F.col("cell").alias("c"), F.floor((F.sum("size").over(Window.orderBy("cell")) - F.col("size")) / target).cast("long").alias("shard"))
-    count = (shard_of.agg(F.max("shard")).first()[0] or 0) + 1
-    placed = texts.join(F.broadcast(shard_of), F.col("cell") == F.col("c")).select("shard", "cell", "doc_id", "text")
-    ordered = placed.repartition(min(count, 100_000), "shard").sortWithinPartitions("shard", "cell", "doc_id", "text").drop("cell")
-    manifest = written(ordered.mapInArrow(_writer(folder, vocabulary, end_id), MANIFEST), "manifest")
-    return folder, manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))
+    folder = posix_path(destination.rstrip("/") if destination else fresh_path(spark, "tokens"))
+    os.makedirs(folder, exist_ok=not destination)
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).withColumn("crc", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)))
+    whole = text_bytes(texts)
+    target = max(4 << 20, min(task_bytes, whole // (4 * spark.sparkContext.defaultParallelism)))
+    ordered = in_order(texts, ["doc_id", "crc"], -(-whole // target)).select("doc_id", "text")
+    ordered.mapInArrow(_writer(folder, vocabulary, end_id, shard_bytes), MANIFEST).write.parquet(f"file://{folder}/manifest")
+    return folder, read_manifest(spark, folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a folder, with base, the ids in all shards before."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"file://{folder}/manifest")
+    return manifest.withColumn("base", F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens"))
 
 
 def open_shard(folder: str, shard: int, item_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +108,7 @@ def open_shard(folder: str, shard: int, item_bytes: int) -> tuple[np.ndarray, np
     kinds = {"bin": f"<u{item_bytes}", "off": "<i8", "doc": "<i8"}
     out = []
     for kind, dtype in kinds.items():
-        path = f"{folder}/shard-{shard:06d}.{kind}"
+        path = f"{folder}/shard-{shard:09d}.{kind}"
         out.append(np.memmap(path, dtype=dtype, mode="r") if os.path.getsize(path) else np.zeros(0, dtype))
     return tuple(out)
 
@@ -129,7 +132,7 @@ def _reader(folder: str):
 def read_token_files(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 per document, from the mapped files; a task per shard or more shards."""
     shards = manifest.select("shard", "item_bytes", "base")
-    return shards.repartition(max(1, min(manifest.count(), 10_000)), "shard").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartitionByRange(max(1, min(manifest.count(), 10_000)), "shard").mapInArrow(_reader(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark, sf_dir):
