@@ -65,19 +65,11 @@ class CachedTokenizer:
                 self.parts[part] = data[first * width : end * width]
                 first = end + 1
 
-    def _letters(self, part: str) -> bytes:
-        """The ids of a run of letters, after a space or not, straight from the library's merges."""
-        if self.keeps_space:
-            piece = "\u0120" + part[1:] if part.isascii() and part[0] == " " else part.encode().decode("latin-1").translate(_BYTES)
-        else:
-            piece = part.lower().encode().decode("latin-1").translate(_BYTES)
-        return array(self.code, [x.id for x in self.model.tokenize(piece)]).tobytes()
-
     def _learn(self, missing: set[str]) -> None:
         """Finds the ids of parts; signs after letters are a piece of their own, and None marks an unsafe cut."""
         if len(self.parts) + len(missing) > MOST_PARTS:
             self.old, self.parts = self.parts, {}
-        parts, old = self.parts, self.old
+        parts, old, tokenize, code, keeps_space = self.parts, self.old, self.model.tokenize, self.code, self.keeps_space
         rest, joined = set(), []
         for part in missing:
             if part in old:
@@ -85,14 +77,20 @@ class CachedTokenizer:
             elif m := _LETTERS(part):
                 stem, signs = m.groups()
                 if stem not in parts:
-                    parts[stem] = self._letters(stem)
+                    # a run of letters, after a space or not, straight from the library's merges
+                    piece = stem if keeps_space else stem.lower()
+                    if not piece.isascii():
+                        piece = piece.encode().decode("latin-1").translate(_BYTES)
+                    elif piece[0] == " ":
+                        piece = "\u0120" + piece[1:]
+                    parts[stem] = array(code, [x.id for x in tokenize(piece)]).tobytes()
                 if signs:
                     joined.append((part, stem, signs))
                     if signs not in parts:
                         rest.add(signs)
             else:
                 inner = part[1:] if part[:1] == " " else part
-                if part == "\n" and self.keeps_space:
+                if part == "\n" and keeps_space:
                     rest.add(part)
                 elif not inner or inner != inner.strip() or SEPARATOR in part:
                     parts[part] = None
@@ -117,12 +115,15 @@ class CachedTokenizer:
             cut = self._cut(text)
             found = list(map(self.parts.get, cut))
             if None in found:
-                missing = {p for p in cut if p not in self.parts}
-                if missing:
-                    if len(self.parts) + len(missing) > MOST_PARTS:
-                        missing = set(cut)
-                    self._learn(missing)
+                missing = {p for p, ids in zip(cut, found, strict=True) if ids is None}
+                missing = {p for p in missing if p not in self.parts}
+                if missing and len(self.parts) + len(missing) > MOST_PARTS:
+                    self._learn(set(cut))
                     found = list(map(self.parts.get, cut))
+                elif missing:
+                    self._learn(missing)
+                    get = self.parts.get
+                    found = [get(p) if ids is None else ids for p, ids in zip(cut, found, strict=True)]
                 if None in found:
                     out.append(self._whole(text))
                     continue
