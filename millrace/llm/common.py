@@ -101,6 +101,14 @@ def in_order(df: DataFrame, order: Sequence[str], partitions: int) -> DataFrame:
     return df.withColumn("__place", F.monotonically_increasing_id()).repartitionByRange(max(1, min(MOST_RANGES, partitions)), *keys).sortWithinPartitions(*keys).drop("__place")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_bytes(documents: DataFrame) -> int:
     """UTF-8 bytes of all texts, and one a row."""
     return documents.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0

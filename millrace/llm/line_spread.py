@@ -1,61 +1,40 @@
-"""Line dedup by spread over sites: HyperLogLog sketches per line, exact counts near the threshold.
+"""Line dedup by spread over sites: HyperLogLog sketches per line hash, exact counts near the threshold.
 
-A line's sketch has 32 registers. A register keeps the bits of all ranks it has seen rather than only the highest one, so
-that four 64-bit words hold a sketch and sketches merge by ``bit_or``, a partial aggregation in generated code; the
-register's value is its highest bit. Lines whose estimate is far below the threshold stay, far above it they are
-boilerplate, and those between are counted exactly.
+Each line hash has a HyperLogLog sketch of its sites, merged by aggregation on both sides of the shuffle. Lines whose
+estimate is below half the threshold stay, those above twice the threshold are boilerplate, and those between are counted
+exactly. With 2**12 registers an estimate is off by a factor of two with no practical probability at any size: few sites
+are held as a list of 26-bit hashes, which is exact but for equal hashes, and beyond it the standard error is 1.6 %.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType
 
-from millrace.llm.common import read, written
+from millrace.llm.common import read, ship, unused, written
 
-REGISTERS, RANKS = 32, 8
+LOG_REGISTERS = 12
 #: Lines of four words or more, as the query's SQL counts, and all lines that aren't blank.
 FOUR_WORDS = r"(?:[^ \t\x0B\f\r]+[ \t\x0B\f\r]+){3}[^ \t\x0B\f\r]"
 NOT_BLANK = r"[^ \t\x0B\f\r]"
-MOST_BROADCAST_ROWS = 200_000
-
-
-def _sketch_words(site: Column) -> list[Column]:
-    """Aggregates of the four words of a sketch of ``site``; nulls leave no trace."""
-    h = F.xxhash64(site)
-    register = F.pmod(h, F.lit(REGISTERS))
-    rest = F.shiftrightunsigned(h, 5).bitwiseAND(F.lit((1 << (RANKS - 1)) - 1))
-    # rank: trailing zeros of the remaining bits, plus one, RANKS at most
-    rank = F.coalesce(*(F.when(F.pmod(rest, F.lit(1 << (k + 1))) != 0, k + 1) for k in range(RANKS - 1)), F.lit(RANKS))
-    bit = F.expr("shiftleft(1L, cast((__register % 8) * 8 + __rank - 1 as int))")
-    return [(k, register, rank, bit) for k in range(REGISTERS // 8)]
+#: Flagged lines that are broadcast, at 16 bytes each; with more, they are joined.
+MOST_BROADCAST_ROWS = 1_000_000
+#: Stand for a missing doc_id, and for lines that aren't counted.
+_NO_ID, _BLANK = -(2**63), -(2**63) + 1
 
 
 def sketched(rows: DataFrame, key: str, site: str) -> DataFrame:
-    """Per ``key``: rows, the smallest doc_id, and the sketch's words s0 to s3."""
-    parts = _sketch_words(F.col(site))
-    _, register, rank, bit = parts[0]
-    rows = rows.withColumns({"__register": register, "__rank": rank}).withColumn("__bit", F.when(F.col(site).isNotNull(), bit))
-    words = [F.expr(f"coalesce(bit_or(if(__register div 8 = {k}, __bit, 0L)), 0L)").alias(f"s{k}") for k, *_ in parts]
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"), *words)
-
-
-def estimate() -> Column:
-    """The HyperLogLog estimate of words s0 to s3, with linear counting in the small range."""
-    values = []
-    for j in range(REGISTERS):
-        byte = F.shiftrightunsigned(F.col(f"s{j // 8}"), 8 * (j % 8)).bitwiseAND(F.lit(255))
-        values.append(F.when(byte == 0, 0).otherwise(F.floor(F.log2(byte)) + 1))
-    inverse = sum((F.pow(F.lit(2.0), -v) for v in values[1:]), F.pow(F.lit(2.0), -values[0]))
-    zeros = sum(((v == 0).cast("int") for v in values[1:]), (values[0] == 0).cast("int"))
-    raw = 0.697 * REGISTERS * REGISTERS / inverse
-    return F.when((raw <= 2.5 * REGISTERS) & (zeros > 0), REGISTERS * (math.log(REGISTERS) - F.log(zeros.cast("double")))).otherwise(raw)
+    """Per ``key``: rows, the smallest doc_id, and the estimated number of sites; nulls are no site."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper"), F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(site, LOG_REGISTERS)), F.lit(0)).alias("sites"))
 
 
 def _lines(documents: DataFrame, counted: str) -> DataFrame:
-    lines = documents.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("site"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = documents.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("site"), F.explode(F.split("text", "\n")).alias("line"))
     return lines.where(F.col("line").rlike(counted)).select("doc_id", "site", F.xxhash64("line").alias("line"))
 
 
@@ -67,36 +46,75 @@ def _sized(df: DataFrame) -> DataFrame:
 def boilerplate(documents: DataFrame, sites: int, counted: str = FOUR_WORDS) -> DataFrame:
     """(line hash, keeper) of the lines that match ``counted`` and are on ``sites`` distinct sites or more; keeper is the smallest doc_id that has the line.
 
-    A line in fewer rows than ``sites`` can't qualify. An estimate below a quarter of the
-    threshold or above twice the threshold decides; the lines between are counted exactly, by distinct (line, site).
+    A line in fewer rows than ``sites`` can't qualify. An estimate below half the threshold or above twice the threshold
+    decides; the lines between are counted exactly, by distinct (line, site).
     """
     lines = _lines(documents, counted)
-    found = written(sketched(lines, "line", "site").where(F.col("n") >= sites).select("line", "keeper", estimate().alias("sites")), "sketches")
+    found = written(sketched(lines, "line", "site").where((F.col("n") >= sites) & (2 * F.col("sites") >= sites)), "sketches")
     far = found.where(F.col("sites") > 2 * sites).select("line", "keeper")
-    near = written(found.where((F.col("sites") >= sites / 4) & (F.col("sites") <= 2 * sites)).select("line", "keeper"), "near-lines")
+    near = found.where(F.col("sites") <= 2 * sites).select("line", "keeper")
     pairs = lines.join(_sized(near.select("line")), "line", "left_semi").where("site IS NOT NULL").select("line", "site").distinct()
     exact = pairs.groupBy("line").agg(F.count("*").alias("c")).where(F.col("c") >= sites)
     return written(far.union(near.join(exact.select("line"), "line", "left_semi")), "boilerplate")
 
 
+def _gone(flagged) -> F.Column:
+    """Tells, for the line hashes of a document, which are flagged and kept by another document."""
+
+    @F.arrow_udf(ArrayType(BooleanType()))
+    def gone(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        lines, keepers = flagged.value
+        for hashes, ids in batches:
+            values = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.repeat(ids.fill_null(_NO_ID).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+            at = np.minimum(np.searchsorted(lines, values), max(0, len(lines) - 1))
+            hit = (lines[at] == values) & (keepers[at] != own) if len(lines) else np.zeros(len(values), bool)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hit))
+
+    return gone
+
+
 def without_boilerplate(documents: DataFrame, sites: int = 10, counted: str = FOUR_WORDS) -> DataFrame:
     """``documents`` (doc_id, text, source and any other columns) with cross-site boilerplate lines removed from text.
 
     A line (split at \\n, compared whole) that matches ``counted`` (four words or more, or NOT_BLANK: every line but blank
-    ones, the distinct sources alone deciding) and occurs on ``sites`` distinct sources or more is
-    removed everywhere but in the document with the smallest doc_id that has it, so nothing is lost altogether and one of
-    a group of copies stays as it is. Other lines keep their order. Rows without source count for no site; rows without
-    doc_id are no keepers unless no other has the line. Null and empty texts stay; repeated rows are treated alike; an
-    empty table gives none. No row is dropped.
+    ones, the distinct sources alone deciding) and occurs on ``sites`` distinct sites or more is removed everywhere but in
+    the document with the smallest doc_id that has it, so nothing is lost altogether and one of a group of copies stays as
+    it is. Other lines keep their order. Rows without source count for no site; rows without doc_id are no keepers unless
+    no other has the line. Null and empty texts stay; repeated rows are treated alike; an empty table gives none. No row
+    is dropped. Any threshold of 1 or more may be asked for.
+
+    Up to MOST_BROADCAST_ROWS flagged lines are broadcast as sorted hashes, and no text is shuffled; with more, documents
+    are joined with their own flagged lines, by id and text, so that rows without id don't meet in one task.
     """
+    spark = documents.sparkSession
     flagged = boilerplate(documents, sites, counted)
+    text = documents["text"]
+    lines = F.split(text, "\n")
+    if flagged.count() <= MOST_BROADCAST_ROWS:
+        ship(spark)
+        # 16 bytes a line, and a bounded number of them
+        table = flagged.orderBy("line").toArrow()
+        packed = spark.sparkContext.broadcast((table.column("line").to_numpy().astype(np.int64), table.column("keeper").fill_null(_NO_ID).to_numpy().astype(np.int64)))
+        hashes = F.transform(lines, lambda x: F.when(x.rlike(counted), F.xxhash64(x)))
+        known = F.transform(hashes, lambda h: F.coalesce(h, F.lit(_BLANK)))
+        gone = unused(documents, "gone")
+        marked = documents.withColumn(gone, _gone(packed)(known, documents["doc_id"].cast("long")))
+        rest = F.array_join(F.filter(lines, lambda x, i: ~F.get(F.col(gone), i)), "\n")
+        changed = F.exists(gone, lambda x: x)
+        return marked.select(*(F.when(changed, rest).otherwise(text).alias("text") if c == "text" else documents[c] for c in documents.columns))
+    own = documents.select(F.col("doc_id").alias("doc_id"), F.col("source").alias("source"), text.alias("text"), F.xxhash64(text).alias("digest"))
+    spread = own.select("doc_id", "digest", F.explode(F.split("text", "\n")).alias("x")).where(F.col("x").rlike(counted)).select("doc_id", "digest", F.xxhash64("x").alias("line"))
+    of_id, of_text, gone = (unused(documents, x) for x in ("hit_id", "hit_text", "gone"))
     hits = (
-        _lines(documents, counted).join(_sized(flagged), "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("__hit_id")).agg(F.collect_set("line").alias("__hit_lines"))
+        spread.join(flagged, "line").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+        .groupBy(F.col("doc_id").alias(of_id), F.col("digest").alias(of_text)).agg(F.collect_set("line").alias(gone))
     )
-    marked = documents.join(hits, documents["doc_id"].eqNullSafe(hits["__hit_id"]), "left")
-    rest = F.array_join(F.filter(F.split(documents["text"], "\n"), lambda x: ~F.coalesce(F.array_contains(F.col("__hit_lines"), F.xxhash64(x)) & x.rlike(counted), F.lit(False))), "\n")
-    return marked.select(*(F.when(F.col("__hit_id").isNotNull() | F.col("__hit_lines").isNotNull(), rest).otherwise(documents["text"]).alias("text") if c == "text" else documents[c] for c in documents.columns))
+    marked = documents.join(hits, documents["doc_id"].eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_text)), "left")
+    rest = F.array_join(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col(gone), F.xxhash64(x)) & x.rlike(counted), F.lit(False))), "\n")
+    return marked.select(*(F.when(F.col(gone).isNotNull(), rest).otherwise(text).alias("text") if c == "text" else documents[c] for c in documents.columns))
 
 
 def op10_line_spread(spark, sf_dir):

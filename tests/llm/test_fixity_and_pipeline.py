@@ -42,6 +42,45 @@ def test_records_of_odd_pages(spark):
     assert got[2].offset == 0 and got[3].offset == got[2].length > 100_000
 
 
+def test_records_of_any_id(spark):
+    """Hashed ids and one page that half of the rows repeat."""
+    ids = [2**62, -(2**62), 12_345, *range(5)] + [7] * 500
+    df = spark.createDataFrame([(k, "u", f"body {n}") for n, k in enumerate(ids)], "page_id long, url string, html string")
+    got = wf.placed_records(df)
+    assert got.count() == len(ids)
+    ends = {}
+    for r in got.orderBy("file", "offset").collect():
+        assert r.offset == ends.get(r.file, 0)
+        ends[r.file] = r.offset + r.length
+    a = got.select("file", "offset", "length", "digest")
+    assert wf.audit(a, a.where("file <> 1024")).where("damage = 'missing'").count() == 505
+
+
+def test_warc_folders(spark, tmp_path):
+    """A record removed from the middle, one cut, one that is broken: the records after them have moved and are no damage."""
+    from millrace.llm import warc_files as wa
+
+    pages = spark.createDataFrame([(f"f{k % 2}", f"{k:04d}", f"http://x/{k}", (f"page {k} " * (k + 1)).encode()) for k in range(60)] + [("f0", None, None, None)], "file string, record_id string, uri string, payload binary")
+    for kind in (True, False):
+        a, b = f"file://{tmp_path}/a{kind}", f"file://{tmp_path}/b{kind}"
+        made = wa.write_warc(pages, a, kind).collect()
+        back = wa.read_warc(spark, a)
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, made)) and len(made) == 61 and wa.audit_folders(spark, a, a).count() == 0
+        other = pages.where("record_id IS NULL OR record_id <> '0020'").withColumn("payload", F.when(F.col("record_id") == "0031", F.substring("payload", 1, 9)).otherwise(F.col("payload")))
+        wa.write_warc(other, b, kind).collect()
+        found = [(r.file[:2], r.damage, r.length) for r in wa.audit_folders(spark, a, b).collect()]
+        of = {r.record_id: r for r in made}
+        assert sorted(found) == sorted([("f0", "missing", of["urn:page:0020"].length), ("f1", "altered", of["urn:page:0031"].length)])
+        broken = next(p for p in (tmp_path / f"b{kind}").iterdir() if p.name.startswith("f1"))
+        raw, hit = bytearray(broken.read_bytes()), of["urn:page:0011"]
+        raw[hit.offset + 2] ^= 0x55
+        broken.write_bytes(bytes(raw))
+        found = {(r.damage, r.offset) for r in wa.audit_folders(spark, a, b).where("file LIKE 'f1%'").collect()}
+        assert {("missing", hit.offset), ("altered", of["urn:page:0031"].offset)} <= found | {("missing", hit.offset) for d, o in found if d == "altered" and o == hit.offset}
+        assert wa.read_warc(spark, b).where("digest = 'unreadable'").count() >= 1
+    assert wa.write_warc(pages.limit(0), f"file://{tmp_path}/c").count() == 0 and wa.read_warc(spark, f"file://{tmp_path}/c").count() == 0
+
+
 def test_pipeline_stages(spark):
     """Each stage against what is left of its own input; decisions take effect and clean documents stay."""
     sf = "/root/testdata/sf0.01"

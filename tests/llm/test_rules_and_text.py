@@ -5,6 +5,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from millrace.llm import decision_list as dl
 from millrace.llm import line_blocks as lb
@@ -178,5 +179,27 @@ def test_sketch_estimates(spark):
     from pyspark.sql import functions as F
 
     rows = spark.range(2000).select((F.col("id") % 2000).alias("doc_id"), F.explode(F.array(*(F.when(F.col("id") < k, F.lit(k)) for k in (1, 5, 20, 200, 2000)))).alias("k")).where("k IS NOT NULL").withColumn("site", F.col("doc_id").cast("string"))
-    got = {r.k: r.e for r in ls.sketched(rows, "k", "site").select("k", ls.estimate().alias("e")).collect()}
-    assert all(abs(got[k] - k) <= max(1.5, 0.6 * k) for k in got) and len(got) == 5
+    got = {r.k: r.sites for r in ls.sketched(rows, "k", "site").collect()}
+    assert all(abs(got[k] - k) <= 0.1 * k for k in got) and len(got) == 5
+
+
+@pytest.mark.parametrize("sites", [10, 1_000, 30_000, 100_000])
+def test_op10_any_threshold_is_exact(spark, sites):
+    """Lines on just fewer, just enough, half and many more sites than the threshold."""
+    from pyspark.sql import functions as F
+
+    spread = {"half": sites // 2, "less": sites - 1, "just": sites, "three": 3 * sites}
+    docs = spark.range(3 * sites).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"), F.concat_ws("\n", *(F.when(F.col("id") < n, F.lit(f"the line of {name} sites")) for name, n in spread.items())).alias("text"))
+    flagged = {r.line for r in ls.boilerplate(docs, sites).collect()}
+    assert flagged == {r.h for r in spark.range(1).select(F.explode(F.array(*(F.xxhash64(F.lit(f"the line of {n} sites")) for n in ("just", "three")))).alias("h")).collect()}
+
+
+def test_op10_joined_as_broadcast(spark, monkeypatch):
+    """Beyond the bound of the broadcast the result is the same; ids are missing and repeated."""
+    rows = [(n % 7 if n % 3 else None, f"own line number {n}\nthe shared line here is long\n", f"site{n}", 1) for n in range(40)] + [(99, None, "a", 1), (98, "", "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, gone int")
+    broadcast = sorted((tuple(r)[:3] for r in ls.without_boilerplate(df).collect()), key=repr)
+    monkeypatch.setattr(ls, "MOST_BROADCAST_ROWS", -1)
+    joined = ls.without_boilerplate(df)
+    assert joined.columns == df.columns and sorted((tuple(r)[:3] for r in joined.collect()), key=repr) == broadcast
+    assert sum("shared" in (r[1] or "") for r in broadcast) == sum(r[0] == 0 for r in rows)
