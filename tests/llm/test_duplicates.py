@@ -4,6 +4,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import components as cc
@@ -77,6 +78,36 @@ def test_op6_edges(spark):
     assert oph.near_duplicates(df.limit(0), 2).count() == 0 and oph.near_duplicates(df.where("doc_id = 1"), 2).count() == 1
 
 
+def test_op6_rows_of_one_id(spark):
+    rows = [(3, "a b c d"), (5, "a b c d"), (5, "e f g h"), (9, "e f g h"), (11, "x y z"), (12, None), (12, "x y z")]
+    got = sorted({(r.doc_id, r.component_id, r.kept) for r in oph.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()})
+    assert got == [(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 11, False), (12, 12, True)]
+
+
+def test_op6_crowds_make_few_pairs(spark):
+    """Texts that share a passage in every bucket without being links, and a few links among them: pairs grow with the members."""
+    rng = random.Random(4)
+    common = [f"c{k}" for k in range(30)]
+    texts = {}
+    for i in range(3000):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(14)]
+        texts[i] = " ".join(common + own)
+        if i % 500 == 0:
+            texts[i + 10_000] = " ".join(common + own[:-1] + ["changed"])
+    sets = {i: np.array([hash(x) for x in zip(t.split(), t.split()[1:])], np.int64) for i, t in texts.items()}
+    crowd = spark.createDataFrame([(i, i, bytearray(s.tobytes())) for i, s in sets.items()], "node long, component long, shingles binary")
+    pairs = {(r.a, r.b) for r in oph.crowded_pairs(crowd, 80).collect()}
+    assert {(i, i + 10_000) for i in range(0, 3000, 500)} <= pairs and len(pairs) <= len(texts)
+    some = {i: texts[i] for i in [*range(400), 10_000]}
+    for small in (4, 10**6):
+        oph_small, oph.unseen_pairs.__defaults__ = oph.unseen_pairs.__defaults__, (small,)
+        try:
+            got = oph.near_duplicates(spark.createDataFrame(list(some.items()), "doc_id long, text string"), 2).collect()
+        finally:
+            oph.unseen_pairs.__defaults__ = oph_small
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == plain_components(some, 2)
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(4)
     for n, share in ((4, 0.5), (60, 0.8), (5000, 0.8)):
@@ -129,6 +160,53 @@ def plain_hits(text, items, window=10):
     return len(w), len(hit), names - {None}
 
 
+def longest_matches(w, items, window):
+    """(start, length) of the longest match with any item from each place of a window on, but those within the one before."""
+    words = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER)) for _, t in items]
+    out, reached = [], -1
+    for p in range(len(w)):
+        best = 0
+        for q in filter(None, words):
+            for k in range(len(q)):
+                n = 0
+                while k + n < len(q) and p + n < len(w) and q[k + n] == w[p + n]:
+                    n += 1
+                if n >= min(window, len(q)):
+                    best = max(best, n)
+        if best and p + best > reached:
+            out.append((p, best))
+            reached = p + best
+    return out
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(3)
+    for n, top in ((0, 1), (1, 5), (300, 2), (500, 40), (400, 10**6)):
+        x = rng.integers(0, top, n)
+        ordered = [x[k:].tolist() + [0] * int(k) for k in sd.suffix_array(x)]
+        assert ordered == sorted(ordered)
+
+
+def test_op7_a_window_of_many_items():
+    """2,000 items with one common window: the work is that of one, and so are the spans."""
+    common = " ".join(f"w{k}" for k in range(10))
+    block = sd.make_block(list(range(2000)), [f"a{k} {common} b{k}" for k in range(2000)])
+    assert (block.owner_first[1:] - block.owner_first[:-1]).max() == 2000
+    texts = pa.array([f"x {common} y " * 2000])
+    _, _, shard = next(sd._shards(texts))
+    found = sd.search_shard(shard, block)
+    assert len(found.starts) == 2000 and len(found.items) == 2000 and found.hits.sum() == 20_000 and (found.sizes == 10).all()
+
+
+def test_op7_kept_arrays(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three four"), (None, "two three"), (3, None)], "doc_id long, text string")
+    bench = lambda t: spark.createDataFrame([(1, t)], "item_id long, text string")
+    folder = f"file://{tmp_path}/arrays"
+    manifest = sd.index_documents(docs, folder)
+    for text, hits in (("two three", {1: 2, None: 2, 3: 0}), ("Four", {1: 1, None: 0, 3: 0})):
+        assert {r.doc_id: r.n_hit for r in sd.search_index(manifest, folder, bench(text)).collect()} == hits
+
+
 def test_op7_random_texts(spark):
     rng = random.Random(6)
     make = lambda n, v="abc": " ".join(rng.choice(v) for _ in range(n))
@@ -141,6 +219,8 @@ def test_op7_random_texts(spark):
         for k, t in enumerate(texts):
             n, hit, names = plain_hits(t, items, window)
             assert (got[k].n_words, got[k].n_hit, got[k].n_items) == (n, hit, len(names)), (k, t)
+            own_words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+            assert [(s.start, s.length) for s in got[k].spans] == longest_matches(own_words, items, window), (k, t)
             for s in got[k].spans:
                 own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(LOWER))[s.start : s.start + s.length]
                 assert any(i == s.item_id and re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (x or "").translate(LOWER))[s.item_start : s.item_start + s.length] == own for i, x in items)
