@@ -4,7 +4,9 @@ Markup is stripped to lines (one per block of text; regions that are never artic
 or adverts, leave a gap: one empty line within a container, else ``width``). Over windows of ``width`` lines the text lengths are summed: a stretch surges
 where the sum rises from zero and dives where it falls back to zero. Stretches whose highest sum reaches the surge height,
 or else the highest one, hold the text, and with them the stretches beside them where only something left out lies
-between. Lines in article and main elements count double; they compete with all others.
+between. At the ends of what is taken, lines that are short and no prose (outside of paragraphs, headings, list items and
+the like) go, up to the first and last line that is. Lines in article and main elements count double and are prose; they
+compete with all others.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ _BLOCKS = frozenset(
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CHROME = frozenset("nav footer aside form button select menu dialog head fieldset search".split())
 _ROOTS = frozenset(("article", "main"))
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre figcaption caption td th".split())
 _CONTAINERS = frozenset("article div main section table td body".split())
 _ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"']+))?")
 _NAMED = ("class", "id", "role", "data-role")
@@ -89,10 +92,12 @@ def _is_chrome(tag: str, attrs: str, in_root: bool) -> bool:
     return any(_CHROME_NAME.fullmatch(x) for x in names) or bool(_CHROME_NAME.fullmatch(label)) or _is_hidden(found)
 
 
-def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool | None]]:
-    """Lines of text (empty for gaps), and for each whether it lies in an article or main element; None at their edges."""
+def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool | None], list[bool]]:
+    """Lines of text (empty for gaps), and for each whether it lies in an article or main element (None at their edges) and whether it is prose."""
     lines: list[str] = []
     roots: list[bool | None] = []
+    prose: list[bool] = []
+    block = ""
     parts: list[str] = []
     skip, nested, depth = "", 0, 0
     containers, number, last, pending = [0], 0, 0, False
@@ -100,6 +105,7 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool |
     def empty(n: int, root: bool | None = False) -> None:
         lines.extend([""] * n)
         roots.extend([root] * n)
+        prose.extend([False] * n)
 
     def close() -> None:
         nonlocal last, pending
@@ -111,6 +117,7 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool |
                     empty(1 if last == containers[-1] else width)
                 lines.append(line)
                 roots.append(depth > 0)
+                prose.append(depth > 0 or block in _PROSE)
                 last, pending = containers[-1], False
 
     def gap() -> None:
@@ -154,6 +161,8 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool |
             depth = max(0, depth - 1) if closing else depth + 1
         if tag in _BLOCKS:
             close()
+            if tag != "br":
+                block = "" if closing else tag
         if tag in _CONTAINERS:
             if not closing:
                 number += 1
@@ -161,7 +170,7 @@ def strip_markup(page: str, width: int = WIDTH) -> tuple[list[str], list[bool |
             elif len(containers) > 1:
                 containers.pop()
     close()
-    return lines, roots
+    return lines, roots, prose
 
 
 def stretches(lengths: list[int], width: int = WIDTH) -> list[tuple[int, int, int]]:
@@ -193,7 +202,7 @@ def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
     """
     if not page:
         return ""
-    lines, roots = strip_markup(page, width)
+    lines, roots, prose = strip_markup(page, width)
     found = stretches([len(x) * (ROOT_WEIGHT if r else 1) for x, r in zip(lines, roots, strict=True)], width)
     if not found:
         return ""
@@ -202,7 +211,9 @@ def main_text(page: str | None, width: int = WIDTH, surge: int = SURGE) -> str:
     tall = [s[2] >= surge or k == first for k, s in enumerate(found)]
     joined = [None not in roots[a[1] : b[0]] for a, b in zip(found, found[1:], strict=False)]
     taken = [t or (k > 0 and tall[k - 1] and joined[k - 1]) or (k < len(joined) and tall[k + 1] and joined[k]) for k, t in enumerate(tall)]
-    return "\n".join(x for (a, b, _), t in zip(found, taken, strict=True) if t for x in lines[a:b] if x)
+    held = [k for (a, b, _), t in zip(found, taken, strict=True) if t for k in range(a, b) if lines[k]]
+    firm = [i for i, k in enumerate(held) if prose[k] or len(lines[k]) >= surge]
+    return "\n".join(lines[k] for k in (held[firm[0] : firm[-1] + 1] if firm else held))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,6 +138,35 @@ def test_op5_unclosed_and_self_closed_elements():
     assert lb.main_text("<p>Text.</p><script>if (a) { b = '<p>no</p>'") == "Text."
 
 
+def test_op5_by_lengths_alone(spark, monkeypatch):
+    """Without article elements and without the list of names, the article still comes out and the rest stays out."""
+    monkeypatch.setattr(lb, "_CHROME_NAME", re.compile(r"(?!)"))
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = re.sub(r"(</?)(?:article|main)\b", r"\1div", r.html)
+        article, got = lb.main_text(r.html).split("\n"), lb.main_text(plain).split("\n")
+        rest = [x for x in lb.strip_markup(re.sub(r"</?(?:nav|footer)>", "", r.html))[0] if x and x not in article]
+        assert sum(map(len, set(article) & set(got))) >= 0.9 * sum(map(len, set(article))) and sum(len(x) for x in got if x in rest) <= 0.1 * sum(map(len, rest))
+
+
+def test_op5_windows_surge_and_dive():
+    """Stretches against their definition: maximal runs without ``width`` empty lines, and the highest sum of ``width`` lines."""
+    rng = random.Random(2)
+    for _ in range(300):
+        lengths = [rng.choice((0, 0, 0, 5, 40, 90)) for _ in range(rng.randrange(30))]
+        runs, k = [], 0
+        while k < len(lengths):
+            if lengths[k]:
+                end = last = k
+                while end < len(lengths) and end - last <= 3:
+                    last = end if lengths[end] else last
+                    end += 1
+                runs.append((k, last + 1, max(sum(lengths[max(k, i - 2) : i + 1]) for i in range(k, last + 1))))
+                k = last + 1
+            else:
+                k += 1
+        assert lb.stretches(lengths) == runs
+
+
 def test_op5_short_stretches_beside_the_text():
     body = "A paragraph of the body with more than enough words in it to be the main text of this page."
     ad = "<aside>Buy this now.</aside>"
