@@ -106,6 +106,20 @@ def test_pipeline_stages(spark):
     assert last.where(F.col("n") != SEQUENCE).count() <= 1 and plain_hits("", [])[1] == 0
 
 
+def test_pipeline_of_odd_rows(spark, sf):
+    """Nulls in any column, repeated rows, a very long text, clashing extra columns; and no rows at all."""
+    good = " ".join(f"word{k} goes{k} on" for k in range(40))
+    rows = [(1, good, "en", "a", 9, 7, "x"), (1, good, "en", "a", 9, 7, "x"), (None, good + " more", None, None, None, None, None), (2, None, "en", "a", 0, 7, "x"), (3, "", "en", "b", 0, 7, "x"), (4, " ".join(f"w{k}" for k in range(30_000)), "en", "b", 1, 7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, node int, gone string")
+    for table in (docs, docs.limit(0)):
+        kept = table
+        for _, stage in corpus_pipeline.STAGES:
+            before, kept = kept, written(stage(spark, kept, sf), "odd")
+            assert stage is corpus_pipeline.packing or kept.columns == before.columns
+        ids = {r.doc_id for r in kept.select("doc_id").distinct().collect()}
+        assert ids == ({1, None, 4} if table is docs else set())
+
+
 def test_pipeline_removes_short_boilerplate(spark):
     rows = [(k, f"Own {k}.\n\nAll rights reserved.\n著作権はすべて当社に帰属します。\nNine.", "en", f"site{k}", 0) for k in range(9)]
     rows += [(k, f"Own {k}.\n\nAll rights reserved.\n著作権はすべて当社に帰属します。", "en", f"site{k}", 0) for k in range(9, 12)]
