@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read, written
+from millrace.llm.common import read, settled
 from millrace.llm.decision_list import filter_quality
 from millrace.llm.drr_packing import pack, word_vocabulary
 from millrace.llm.line_spread import NOT_BLANK, without_boilerplate
@@ -46,10 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written and read again by the next."""
+    """All stages over documents; each one's result is written and read again by the next, and what it wrote on the way is dropped."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
