@@ -6,6 +6,7 @@ source is one row per key; rows whose key is null never match, so they are alway
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -80,15 +81,25 @@ def merge(target: DataFrame, source: DataFrame, spec: MergeSpec) -> DataFrame:
     return joined.withColumn("__state", state).where("__state <> 'drop'").select(*taken)
 
 
-def merge_small_source(target: DataFrame, source: DataFrame, spec: MergeSpec, most_rows: int = 100_000) -> DataFrame:
-    """merge() that leaves the target unshuffled while the source has at most ``most_rows`` rows, counted first.
+def _reads_cheaply(df: DataFrame) -> bool:
+    """Whether a plan is a scan with projections and filters, which may run twice."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not re.search(r"^[\s:+|-]*(?:Join|Aggregate|Window|WindowGroupLimit|Distinct|Sort|Repartition\w*|Generate|Deduplicate)\b", plan, re.M)
 
-    The target is joined to the broadcast source in one pass; a second pass over its keys finds the source's new rows.
-    Beyond the bound it is the full outer join. The source, one row per key, is kept while both passes use it.
+
+def merge_small_source(target: DataFrame, source: DataFrame, spec: MergeSpec, most_rows: int = 100_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """merge() that leaves a stored target unshuffled while the source has at most ``most_rows`` rows and ``most_bytes`` bytes.
+
+    The target is joined to the broadcast source in one pass; a second pass over its keys alone finds the source's new
+    rows. It is the full outer join where the source is larger (its rows are counted and their size is taken from the
+    schema and the strings' lengths) and where the target is the result of shuffles, which would run twice.
     """
-    source = source.persist()
-    if source.limit(most_rows + 1).count() > most_rows:
-        source.unpersist()
+    if not _reads_cheaply(target):
+        return merge(target, source, spec)
+    texts = [F.octet_length(F.col(f"`{f.name}`")) for f in source.schema if f.dataType.typeName() in ("string", "binary")]
+    width = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(16 * len(source.columns)))
+    rows, bytes_ = source.limit(most_rows + 1).agg(F.count("*"), F.sum(width)).first()
+    if rows > most_rows or (bytes_ or 0) > most_bytes:
         return merge(target, source, spec)
     columns = target.columns
     t, s = target.alias("t"), F.broadcast(source.withColumn("__s", F.lit(True))).alias("s")

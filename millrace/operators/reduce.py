@@ -52,18 +52,58 @@ def commit_time(df: DataFrame, version: str, time: str, value, default: Column |
     return df.where(F.col(version) == F.lit(value)).agg(F.coalesce(F.min(time), default if default is not None else F.current_timestamp()).alias(time))
 
 
-def first_at_or_after(df: DataFrame, column: str, moment) -> DataFrame:
-    return df.where(F.col(column) >= F.lit(moment)).orderBy(column).limit(1)
+def first_at_or_after(df: DataFrame, column: str, moment, ties: Sequence[str] = ()) -> DataFrame:
+    """The first row at the moment or later; ``ties`` decide between rows of one moment, else all other columns do."""
+    return df.where(F.col(column) >= F.lit(moment)).orderBy(column, *(ties or [c for c in df.columns if c != column])).limit(1)
 
 
 def has_rows(df: DataFrame) -> bool:
     return not df.limit(1).isEmpty()
 
 
-def grouped_lists(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Values by key as sorted lists."""
+def grouped_lists(df: DataFrame, key: str, value: str, most: int | None = None) -> DataFrame:
+    """Values by key as sorted lists; with ``most``, in lists (column chunk, from 0) of at most so many, so that a hot key makes no long row."""
+    if most is not None:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(value)) - 1
+        return df.withColumn("chunk", F.floor(place / most).cast("long")).groupBy(key, "chunk").agg(F.array_sort(F.collect_list(value)).alias(value))
     return df.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(value))
 
 
 def sorted_for_write(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sortWithinPartitions(*(F.col(c).desc_nulls_last() for c in columns))
+
+
+def highest(df: DataFrame, column: str, n: int, ties: Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows in the order of a write: descending, nulls last, then by ``ties``."""
+    return df.orderBy(F.col(column).desc_nulls_last(), *ties).limit(n)
+
+
+def schema_tables(tables: DataFrame, schemas: DataFrame, key: str, table: str, schema: str) -> DataFrame:
+    """Tables with the names of their schemas; tables of unknown schemas are left out."""
+    return tables.join(schemas, key).select(table, schema)
+
+
+def read_cost(df: DataFrame, io: str, cpu: str) -> DataFrame:
+    """One row: the estimated cost of reading, the sum of both parts over all steps."""
+    return df.agg(F.sum(F.col(io) + F.col(cpu)).alias("cost"))
+
+
+def file_stats(files: DataFrame, by: str, records: str, size: str, partition: str) -> DataFrame:
+    """Records, bytes and partitions of files, summed by a column."""
+    return files.groupBy(by).agg(F.sum(records).alias("records"), F.sum(size).alias("size"), F.countDistinct(partition).alias("partitions"))
+
+
+def average_size(files: DataFrame, sample: int = 1000, unknown: int = 100 << 20) -> DataFrame:
+    """One row: the average bytes of the ``sample`` latest files, an unknown size counting as 100 MiB, and how many there were."""
+    latest = files.orderBy(F.desc("created"), "name").limit(sample)
+    return latest.agg(F.avg(F.coalesce("bytes", F.lit(unknown))).alias("average"), F.count("*").alias("files"))
+
+
+def scalar(df: DataFrame):
+    """The only value of a result of one row and one column, or None without rows; more are an error."""
+    if len(df.columns) != 1:
+        raise ValueError(f"{len(df.columns)} columns instead of one")
+    rows = df.limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("more than one row")
+    return rows[0][0] if rows else None

@@ -1,23 +1,29 @@
 """Versioned tables of Parquet files: append, overwrite by swap, properties, statistics and maintenance.
 
 A table is a folder with data folders and numbered metadata files. A commit writes its data first and then one metadata
-file (schema, data folders, properties such as the watermark, last batch), created under the next number without
-overwriting: data, watermark and batch number change together, and of two writers one fails. Readers take the highest
-number. Paths go through Hadoop's file systems.
+file (schema, data files with the bounds of their merge keys, properties such as the watermark, last batch), created under
+the next number by an operation that fails where the number is taken: data, watermark and batch number change together, and
+of several writers one succeeds. Readers take the highest number. A merge rewrites only files that may hold a key of the
+source; the others are carried over by name. Paths go through Hadoop's file systems.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
+import os
 import time
 import uuid
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.keys import MERGE_KEY
+from millrace.functions.sizing import row_bytes
 from millrace.operators.merge import MergeSpec, merge, merge_small_source
 from millrace.operators.reduce import sorted_for_write
 from millrace.operators.schema import aligned, evolved, missing_fields
@@ -27,7 +33,7 @@ from millrace.operators.schema import aligned, evolved, missing_fields
 class State:
     version: int
     schema: T.StructType
-    folders: list[str]
+    files: list[dict]  # path, and rows, bytes, and by column low and high where they're known
     properties: dict[str, str] = field(default_factory=dict)
 
 
@@ -35,9 +41,20 @@ class CommitConflict(RuntimeError):
     """Another writer committed the version first."""
 
 
+#: Keys of a source that are looked up among the files' bounds on the driver.
+MOST_KEYS = 100_000
+#: File systems whose create-without-overwriting is one atomic step; others are refused.
+ATOMIC_CREATE = ("hdfs", "viewfs", "abfs", "abfss", "gs")
+
+
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, rows_per_file: int = 10_000, sorted_by: Sequence[str] = (), bloom: Sequence[str] = (), file_format: str = "parquet") -> None:
+    def __init__(self, spark: SparkSession, path: str, rows_per_file: int | None = None, sorted_by: Sequence[str] = (), bloom: Sequence[str] = (), file_format: str = "parquet", file_bytes: int = 128 << 20, key: str = MERGE_KEY, clustered: bool = False) -> None:
+        """Files have about ``file_bytes``, by an estimate of the rows' size, or ``rows_per_file`` rows where that is given.
+
+        A clustered table is written in ranges of its key, so that a merge of few keys touches few files.
+        """
         self.spark, self.path, self.rows_per_file, self.sorted_by, self.bloom, self.file_format = spark, path.rstrip("/"), rows_per_file, tuple(sorted_by), tuple(bloom), file_format
+        self.file_bytes, self.key, self.clustered = file_bytes, key, clustered
         jvm = spark._jvm.org.apache.hadoop
         self._path = jvm.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -65,16 +82,48 @@ class VersionedTable:
     def state(self, version: int | None = None) -> State:
         version = version if version is not None else self._versions()[-1]
         found = json.loads(self._text(f"{self.path}/_meta/{version:09d}.json"))
-        return State(version, T.StructType.fromJson(found["schema"]), found["folders"], found["properties"])
-
-    def _commit(self, state: State) -> State:
-        text = json.dumps({"schema": state.schema.jsonValue(), "folders": state.folders, "properties": state.properties})
-        temporary, final = self._path(f"{self.path}/_meta/.{uuid.uuid4().hex}"), self._path(f"{self.path}/_meta/{state.version:09d}.json")
+        return State(version, T.StructType.fromJson(found["schema"]), found["files"], found["properties"])
+
+    def _create(self, path: str, text: str) -> bool:
+        """Makes a whole file under a name that is free; False where it is taken. Two callers never both succeed."""
+        scheme = self._fs.getUri().getScheme()
+        if scheme == "file":
+            local, temporary = (f"{self._local()}{x}" for x in (path, f"/_meta/.{uuid.uuid4().hex}"))
+            os.makedirs(os.path.dirname(local), exist_ok=True)
+            with open(temporary, "w", encoding="utf-8") as f:
+                f.write(text)
+            try:
+                os.link(temporary, local)  # fails if the name exists, and shows the file whole
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(temporary)
+            return True
+        if scheme not in ATOMIC_CREATE:
+            raise NotImplementedError(f"{scheme}: commits need a file system that creates files atomically; use one of {ATOMIC_CREATE}")
+        temporary = self._path(f"{self.path}/_meta/.{uuid.uuid4().hex}")
         out = self._fs.create(temporary, False)
         out.write(bytearray(text.encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(temporary, final):
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        options = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = none
+        try:
+            context.rename(temporary, self._path(f"{self.path}{path}"), options)
+        except Exception as e:  # noqa: BLE001
             self._fs.delete(temporary, False)
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
+    def _local(self) -> str:
+        return self._path(self.path).toUri().getPath()
+
+    def _commit(self, state: State) -> State:
+        text = json.dumps({"schema": state.schema.jsonValue(), "files": state.files, "properties": state.properties})
+        if not self._create(f"/_meta/{state.version:09d}.json", text):
             raise CommitConflict(f"{self.path} has a version {state.version} already")
         return state
 
@@ -85,9 +134,12 @@ class VersionedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         state = self.state(version)
-        if not state.folders:
+        return self._files(state, state.files)
+
+    def _files(self, state: State, files: Sequence[Mapping]) -> DataFrame:
+        if not files:
             return self.spark.createDataFrame([], state.schema)
-        return self.spark.read.schema(state.schema).format(self.file_format).load([f"{self.path}/{f}" for f in state.folders])
+        return self.spark.read.schema(state.schema).format(self.file_format).load([f"{self.path}/{f['path']}" for f in files])
 
     def properties(self) -> dict[str, str]:
         return self.state().properties
@@ -97,19 +149,34 @@ class VersionedTable:
 
     def set_properties(self, **values: str) -> None:
         s = self.state()
-        self._commit(State(s.version + 1, s.schema, s.folders, s.properties | values))
+        self._commit(State(s.version + 1, s.schema, s.files, s.properties | values))
 
     # writing
 
-    def _write(self, df: DataFrame) -> str:
+    def _write(self, df: DataFrame) -> list[dict]:
+        """Writes rows and returns their files. The bounds of the key are read from what was written, by file."""
         folder = f"data/{uuid.uuid4().hex}"
+        if self.clustered and self.key in df.columns:
+            df = df.repartitionByRange(self.key)
         if self.sorted_by:
             df = sorted_for_write(df, self.sorted_by)
-        writer = df.write.format(self.file_format).option("maxRecordsPerFile", self.rows_per_file)
+        rows = self.rows_per_file or max(10_000, self.file_bytes // max(1, row_bytes(df.schema) // 4))
+        writer = df.write.format(self.file_format).option("maxRecordsPerFile", rows)
         for c in self.bloom:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.save(f"{self.path}/{folder}")
-        return folder
+        return self._described(folder, df.schema)
+
+    def _described(self, folder: str, schema: T.StructType) -> list[dict]:
+        sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.getPath().getName()[:1] not in ("_", ".")}
+        if not sizes:
+            return []
+        bounded = self.key in schema.names and isinstance(schema[self.key].dataType, (T.StringType, T.LongType, T.IntegerType))
+        extremes = [F.min(self.key).alias("low"), F.max(self.key).alias("high")] if bounded else []
+        data = self.spark.read.schema(schema).format(self.file_format).load(f"{self.path}/{folder}").select("*", F.col("_metadata.file_name").alias("__file"))
+        # a row per file: as many as the commit's list of files has anyway
+        known = {r["__file"]: r.asDict() for r in data.groupBy("__file").agg(F.count("*").alias("rows"), *extremes).collect()}
+        return [{"path": f"{folder}/{n}", "bytes": b, "rows": known.get(n, {}).get("rows", 0)} | ({"low": known[n]["low"], "high": known[n]["high"]} if bounded and n in known else {}) for n, b in sorted(sizes.items())]
 
     def create(self, schema: T.StructType, replace: bool = False, properties: Mapping[str, str] | None = None) -> VersionedTable:
         versions = self._versions()
@@ -124,27 +191,45 @@ class VersionedTable:
         s = self.state()
         if extra := missing_fields(s.schema, df.schema):
             raise ValueError(f"the table lacks {[f.name for f in extra]}; migrate it first")
-        return self._commit(State(s.version + 1, s.schema, [*s.folders, self._write(aligned(df, s.schema))], s.properties | properties))
+        return self._commit(State(s.version + 1, s.schema, [*s.files, *self._write(aligned(df, s.schema))], s.properties | properties))
 
     def overwrite(self, df: DataFrame, **properties: str) -> State:
         """Replaces rows and schema in one commit; readers of older versions aren't disturbed."""
         versions = self._versions()
         old = self.state(versions[-1]).properties if versions else {}
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-        return self._commit(State((versions or [-1])[-1] + 1, schema, [self._write(df)], old | properties))
+        return self._commit(State((versions or [-1])[-1] + 1, schema, self._write(df), old | properties))
 
     def migrate(self, source: T.StructType) -> list[T.StructField]:
         """Adds the source's missing fields; returns them."""
         s = self.state()
         missing = missing_fields(s.schema, source)
         if missing:
-            self._commit(State(s.version + 1, evolved(s.schema, source), s.folders, s.properties))
+            self._commit(State(s.version + 1, evolved(s.schema, source), s.files, s.properties))
         return missing
 
     def merge(self, source: DataFrame, spec: MergeSpec, small: bool = False, **properties: str) -> State:
+        """Merges a source of one row per key. Files whose keys lie outside of all the source's are kept as they are.
+
+        Up to MOST_KEYS keys of the source are held against the files' bounds; a clustered table, whose files are ranges of
+        keys, then rewrites no more files than there are keys. Rows of the source that meet no file become new ones.
+        """
         s = self.state()
-        how = merge_small_source if small else merge
-        return self._commit(State(s.version + 1, s.schema, [self._write(how(self.read(), aligned(source, s.schema), spec))], s.properties | properties))
+        source = aligned(source, s.schema)
+        touched, kept = self._touched(s, source, spec)
+        merged = (merge_small_source if small else merge)(self._files(s, touched), source, spec)
+        return self._commit(State(s.version + 1, s.schema, [*kept, *self._write(merged)], s.properties | properties))
+
+    def _touched(self, s: State, source: DataFrame, spec: MergeSpec) -> tuple[list[dict], list[dict]]:
+        """Files that may hold a key of the source, and the others."""
+        if spec.key != self.key or any("low" not in f for f in s.files):
+            return s.files, []
+        # bounded: a larger source meets nearly every file anyway
+        keys = sorted(r[0] for r in source.select(self.key).where(F.col(self.key).isNotNull()).limit(MOST_KEYS + 1).collect())
+        if len(keys) > MOST_KEYS:
+            return s.files, []
+        meets = lambda f: f["low"] is not None and bisect.bisect_left(keys, f["low"]) < bisect.bisect_right(keys, f["high"])
+        return [f for f in s.files if meets(f)], [f for f in s.files if not meets(f)]
 
     def drop(self) -> None:
         self._fs.delete(self._path(self.path), True)
@@ -152,22 +237,27 @@ class VersionedTable:
     # statistics and maintenance
 
     def stats(self) -> dict[str, int]:
-        """Rows, bytes and files of the current version."""
-        s = self.state()
-        if not s.folders:
-            return {"rows": 0, "bytes": 0, "files": 0}
-        files = self.spark.read.format("binaryFile").option("pathGlobFilter", f"*.{self.file_format}").load([f"{self.path}/{f}" for f in s.folders]).agg(F.count("*").alias("f"), F.sum("length").alias("b")).first()
-        return {"rows": self.read().count(), "bytes": files.b or 0, "files": files.f}
+        """Rows, bytes, files and folders of the current version, from its metadata."""
+        files = self.state().files
+        return {"rows": sum(f["rows"] for f in files), "bytes": sum(f["bytes"] for f in files), "files": len(files), "partitions": len({f["path"].rsplit("/", 1)[0] for f in files})}
+
+    def column_bytes(self) -> DataFrame:
+        """(name, bytes): each column's bytes as text of its values, for estimates of row sizes. One pass."""
+        df = self.read()
+        sums = df.agg(*(F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`").cast("string"))), F.lit(0)).alias(c) for c in df.columns))
+        return sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}`").alias("bytes")) for c in df.columns))).alias("x")).select("x.*")
 
     def optimize(self, target_bytes: int = 128 << 20) -> None:
         """Rewrites the rows into files of about the target size."""
-        s, bytes_ = self.state(), self.stats()["bytes"]
-        self._commit(State(s.version + 1, s.schema, [self._write_compact(self.read(), max(1, round(bytes_ / target_bytes)))], s.properties))
+        s = self.state()
+        n = max(1, round(sum(f["bytes"] for f in s.files) / target_bytes))
+        self._commit(State(s.version + 1, s.schema, self._write_compact(self.read(), n), s.properties))
 
-    def _write_compact(self, df: DataFrame, files: int) -> str:
+    def _write_compact(self, df: DataFrame, files: int) -> list[dict]:
         folder = f"data/{uuid.uuid4().hex}"
-        (sorted_for_write(df.repartition(files), self.sorted_by) if self.sorted_by else df.repartition(files)).write.format(self.file_format).save(f"{self.path}/{folder}")
-        return folder
+        df = df.repartitionByRange(files, self.key) if self.clustered and self.key in df.columns else df.repartition(files)
+        (sorted_for_write(df, self.sorted_by) if self.sorted_by else df).write.format(self.file_format).save(f"{self.path}/{folder}")
+        return self._described(folder, df.schema)
 
     def expire_versions(self, older_than_seconds: float, keep: int = 1) -> list[int]:
         """Forgets old versions but for the last ``keep``; their data goes with remove_orphans()."""
@@ -179,9 +269,9 @@ class VersionedTable:
                 gone.append(v)
         return gone
 
-    def remove_orphans(self, older_than_seconds: float = 0) -> list[str]:
-        """Deletes data folders that no version has."""
-        used = {f for v in self._versions() for f in self.state(v).folders}
+    def remove_orphans(self, older_than_seconds: float = 86_400) -> list[str]:
+        """Deletes data folders of which no version has a file; young ones may be a writer's that has not committed yet."""
+        used = {f["path"].rsplit("/", 1)[0] for v in self._versions() for f in self.state(v).files}
         where, gone = self._path(f"{self.path}/data"), []
         for s in self._fs.listStatus(where) if self._fs.exists(where) else []:
             name = f"data/{s.getPath().getName()}"
@@ -191,21 +281,22 @@ class VersionedTable:
         return gone
 
     def analyze(self, columns: Sequence[str] | None = None) -> dict[str, dict]:
-        """Values that aren't null and distinct values (estimated) of columns; kept as a property."""
+        """Values that aren't null, distinct values (estimated), least and greatest value of columns; kept as a property."""
         df = self.read()
         names = list(columns or df.columns)
-        row = df.agg(*(x for c in names for x in (F.count(c).alias(f"n_{c}"), F.approx_count_distinct(c).alias(f"d_{c}")))).first()
-        found = {c: {"values": row[f"n_{c}"], "distinct": row[f"d_{c}"]} for c in names}
+        wide = (T.StructType, T.ArrayType, T.MapType, T.VariantType, T.BinaryType)
+        bound = lambda f, c: f(c).cast("string") if not isinstance(df.schema[c].dataType, wide) else F.lit(None).cast("string")
+        row = df.agg(*(x for c in names for x in (F.count(c).alias(f"n_{c}"), F.approx_count_distinct(F.col(c).cast("string")).alias(f"d_{c}"), bound(F.min, c).alias(f"a_{c}"), bound(F.max, c).alias(f"z_{c}")))).first()
+        found = {c: {"values": row[f"n_{c}"], "distinct": row[f"d_{c}"], "least": row[f"a_{c}"], "greatest": row[f"z_{c}"]} for c in names}
         self.set_properties(statistics=json.dumps(found))
         return found
 
 
-def drop_by_prefix(spark: SparkSession, folder: str, prefix: str) -> list[str]:
-    """Drops the tables below a folder whose names begin with the prefix."""
+def drop_by_prefix(spark: SparkSession, folder: str, prefix: str, parallel: int = 8) -> list[str]:
+    """Drops the tables below a folder whose names begin with the prefix, several at a time."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs, gone = path.getFileSystem(spark._jsc.hadoopConfiguration()), []
-    for s in fs.listStatus(path) if fs.exists(path) else []:
-        if s.getPath().getName().startswith(prefix):
-            fs.delete(s.getPath(), True)
-            gone.append(s.getPath().getName())
-    return sorted(gone)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in (fs.listStatus(path) if fs.exists(path) else []) if s.getPath().getName().startswith(prefix)]
+    with ThreadPoolExecutor(parallel) as pool:
+        list(pool.map(lambda p: fs.delete(p, True), found))
+    return sorted(p.getName() for p in found)

@@ -81,7 +81,7 @@ def column_summary_left_join(spark, sf_dir):
 @query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def inner_join_schemas(spark, sf_dir):
     n, g = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(g, n.n_regionkey == g.r_regionkey).select("n_name", "r_name")
+    return r.schema_tables(n, g.withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey", "n_name", "r_name")
 
 
 @query("SELECT coalesce(max(user_id), 60) AS user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id > 10 AND user_id <= 60 ORDER BY user_id LIMIT 5)")
@@ -164,7 +164,7 @@ def hour_prefix_series(spark, sf_dir):
 
 @query("SELECT event_id, user_id, value FROM events ORDER BY value DESC NULLS LAST, event_id LIMIT 100")
 def sort_order_desc_nulls_last(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "value").orderBy(F.desc_nulls_last("value"), "event_id").limit(100)
+    return r.highest(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "value", 100, ["event_id"])
 
 
 @query("SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 20")
@@ -172,24 +172,24 @@ def topn_distinct(spark, sf_dir):
     return r.distinct_lowest(table(spark, sf_dir, "events"), "user_id", 20)
 
 
-@query("SELECT epoch_us(ts) AS ts_us, event_id FROM events WHERE epoch_us(ts) >= 1705363200000000 ORDER BY ts LIMIT 1")
+@query("SELECT epoch_us(ts) AS ts_us, event_id FROM events WHERE epoch_us(ts) >= 1705363200000000 ORDER BY ts, event_id LIMIT 1")
 def first_match_after(spark, sf_dir):
     return r.first_at_or_after(events(spark, sf_dir).select("ts_us", "event_id"), "ts_us", 1_705_363_200_000_000)
 
 
 @query("SELECT l_returnflag, count(*) AS records, sum(l_linenumber)::BIGINT AS size, count(DISTINCT l_linestatus) AS partitions FROM lineitem GROUP BY l_returnflag")
 def table_stats_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("records"), F.sum("l_linenumber").alias("size"), F.countDistinct("l_linestatus").alias("partitions"))
+    return r.file_stats(table(spark, sf_dir, "lineitem").withColumn("one", F.lit(1)), "l_returnflag", "one", "l_linenumber", "l_linestatus")
 
 
 @query(f"SELECT round(avg(coalesce(bytes, 104857600)), 6) AS average, count(*) AS files FROM (SELECT bytes FROM ({_FILES}) ORDER BY created DESC, name LIMIT 1000)")
 def avg_file_size(spark, sf_dir):
-    return _files(spark, sf_dir).orderBy(F.desc("created"), "name").limit(1000).agg(F.round(F.avg(F.coalesce("bytes", F.lit(104_857_600))), 6).alias("average"), F.count("*").alias("files"))
+    return r.average_size(_files(spark, sf_dir)).select(F.round("average", 6).alias("average"), "files")
 
 
 @query("SELECT round(sum(l_quantity + l_linenumber), 4) AS cost FROM lineitem")
 def read_cost_sum(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").agg(F.round(F.sum(F.col("l_quantity") + F.col("l_linenumber")), 4).alias("cost"))
+    return r.read_cost(table(spark, sf_dir, "lineitem"), "l_quantity", "l_linenumber").select(F.round("cost", 4).alias("cost"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, round(CASE WHEN 1 + pow(ln(l_extendedprice / 10000), 3) < 0 THEN 1 WHEN 1 + pow(ln(l_extendedprice / 10000), 3) > 1000 THEN 1000 ELSE 1 + pow(ln(l_extendedprice / 10000), 3) END, 6) AS shard_mb FROM lineitem")
@@ -239,8 +239,8 @@ def name_sanitise(spark, sf_dir):
 
 @query("SELECT event_id, (epoch_us(ts) // 1000000)::BIGINT AS seconds, ((epoch_us(ts) // 1000000) * 1000000)::BIGINT AS back_us FROM events")
 def epoch_roundtrip(spark, sf_dir):
-    s = F.expr("ts_us div 1000000")
-    return events(spark, sf_dir).select("event_id", s.alias("seconds"), F.expr("unix_micros(timestamp_seconds(ts_us div 1000000))").alias("back_us"))
+    seconds = k.epoch_seconds(F.col("ts_us"))
+    return events(spark, sf_dir).select("event_id", seconds.alias("seconds"), k.epoch_micros(seconds).alias("back_us"))
 
 
 @query(f"SELECT o_orderkey, o_totalprice, {utf16_sha('o_orderkey::VARCHAR')} AS row_key, 5::BIGINT AS row_version FROM orders")

@@ -7,14 +7,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.keys import MERGE_KEY, hashed_key
+from millrace.functions.keys import MERGE_KEY, hashed_key, normalize_names
 
 VERSION, OPERATION, TRACKED = "SYS_CHANGE_VERSION", "SYS_CHANGE_OPERATION", "ChangeTrackingVersion"
 
 
-def jdbc_reader(spark: SparkSession, url: str, query: str, fetch_size: int = 1000, **options: str) -> DataFrame:
-    """A query against the source database; needs its driver on the class path."""
-    return spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch_size), **options).load()
+def jdbc_options(url: str, query: str, fetch_size: int = 1000, split: tuple[str, object, object, int] | None = None, **more: str) -> dict[str, str]:
+    """Options of a read. ``split`` (column, lowest, highest, parts) reads parts side by side; outer parts are open, so no row is lost."""
+    out = {"url": url, "fetchsize": str(fetch_size), **more}
+    if split is None:
+        return out | {"query": query}
+    column, low, high, parts = split
+    return out | {"dbtable": f"({query}) q", "partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+
+def jdbc_reader(spark: SparkSession, url: str, query: str, fetch_size: int = 1000, split: tuple[str, object, object, int] | None = None, **more: str) -> DataFrame:
+    """A query against the source database; needs its driver on the class path. Column names lose what isn't fit for one."""
+    return normalize_names(spark.read.format("jdbc").options(**jdbc_options(url, query, fetch_size, split, **more)).load())
+
+
+def jdbc_split(spark: SparkSession, url: str, query: str, column: str, parts: int, **more: str) -> tuple[str, object, object, int] | None:
+    """The split of a query by the least and greatest value of a column; None for a query without rows."""
+    low, high = jdbc_reader(spark, url, f"SELECT min({column}) AS low, max({column}) AS high FROM ({query}) b", **more).first()
+    return None if low is None else (column, low, high, parts)
 
 
 def _columns(base: DataFrame, keys: Sequence[str]) -> list[str]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,35 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 
 
 def _text(spark: SparkSession, file: str) -> str:
-    return "\n".join(r.value for r in spark.read.text(file, wholetext=True).collect())
+    """A small file, read on the driver without a job."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+#: Up to so many hours are listed by their prefixes; beyond, the whole folder is.
+MOST_PREFIXES = 240
+
+
+def _timed_names(spark: SparkSession, root: str, start: datetime | None, end: datetime | None) -> list[str]:
+    """Names in the root that may be of the time range, by hour prefixes where the range is short."""
+    if start is None:
+        return _names(spark, root)
+    last = (end or datetime.now(timezone.utc)) + timedelta(hours=1)
+    # a folder's own zone may differ by up to 14 hours from UTC
+    first = start.astimezone(timezone.utc) - timedelta(hours=14)
+    hours = int((last.astimezone(timezone.utc) + timedelta(hours=14) - first).total_seconds() // 3600) + 1
+    if hours > MOST_PREFIXES:
+        return _names(spark, root)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs, found = path.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for k in range(hours):
+        prefix = (first + timedelta(hours=k)).strftime("%Y-%m-%dT%H")
+        found += [s.getPath().getName() for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{prefix}*"))]
+    return sorted(set(found))
 
 
 def batch_folders(spark: SparkSession, root: str, start: datetime | None = None, end: datetime | None = None) -> list[str]:
@@ -43,10 +71,9 @@ def batch_folders(spark: SparkSession, root: str, start: datetime | None = None,
 
     The folder in progress is named in Changelog/changelog.info.
     """
-    names = _names(spark, root)
-    if end is None and "Changelog" in names and "changelog.info" in _names(spark, f"{root}/Changelog"):
+    if end is None and "changelog.info" in _names(spark, f"{root}/Changelog"):
         end = folder_time(_text(spark, f"{root}/Changelog/changelog.info").strip())
-    timed = [(t, n) for n in names if (t := folder_time(n)) and (start is None or t >= start) and (end is None or t < end)]
+    timed = [(t, n) for n in _timed_names(spark, root, start, end) if (t := folder_time(n)) and (start is None or t >= start) and (end is None or t < end)]
     return [n for _, n in sorted(timed) if "model.json" in _names(spark, f"{root}/{n}")]
 
 
@@ -78,28 +105,52 @@ def csv_frame(spark: SparkSession, files: list[str], schema: T.StructType) -> Da
     """Headerless CSV with quotes and line feeds within them, which are removed; a line with too many or few fields is an error."""
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     raw = spark.read.schema(text).option("header", "false").option("multiLine", "true").option("quote", '"').option("escape", '"').option("mode", "FAILFAST").csv(files)
-    ordered = raw.select(*(typed_value(F.regexp_replace(F.col(f"`{f.name}`"), "\n", ""), f.name, f.dataType).alias(f.name) for f in schema), F.col("_metadata.file_name").alias("__file"))
-    return ordered.withColumn("file_order", F.regexp_extract("__file", r"(\d+)\.csv$", 1).cast("int")).drop("__file")
+    ordered = raw.select(*(typed_value(F.regexp_replace(F.col(f"`{f.name}`"), "\n", ""), f.name, f.dataType).alias(f.name) for f in schema), F.col("_metadata.file_path").alias("__file"))
+    folder = F.url_decode(F.element_at(F.split("__file", "/"), -3))
+    return ordered.withColumn("batch_folder", folder).withColumn("file_order", F.regexp_extract("__file", r"(\d+)\.csv$", 1).cast("int")).drop("__file")
 
 
-def batch_rows(spark: SparkSession, root: str, folder: str, entity: str) -> DataFrame | None:
-    """A batch's rows of an entity with the merge key; file_order puts tombstones (the lowest file) last. None without files."""
+def _numbered(spark: SparkSession, root: str, folder: str, entity: str) -> list[str]:
+    """A batch's files of an entity; names that are no numbers are an error, as their order would be lost."""
     files = [n for n in _names(spark, f"{root}/{folder}/{entity}") if n.endswith(".csv")]
     for n in files:
         if not n[:-4].isdigit():
             raise ValueError(f"{folder}/{entity}/{n}: not a numbered file")
-    if not files:
-        return None
-    schema = manifest_schema(_text(spark, f"{root}/{folder}/model.json"), entity)
-    df = csv_frame(spark, [f"{root}/{folder}/{entity}/{n}" for n in files], schema)
+    return [f"{root}/{folder}/{entity}/{n}" for n in files]
+
+
+def entity_schema(spark: SparkSession, root: str, folder: str, entity: str) -> T.StructType:
+    return manifest_schema(_text(spark, f"{root}/{folder}/model.json"), entity)
+
+
+def of_folders(spark: SparkSession, root: str, names: list[str], entity: str, schema: T.StructType | None = None) -> DataFrame | None:
+    """The rows of batches with the merge key, each with its folder; one read per distinct manifest, not per folder.
+
+    file_order puts tombstones (the lowest file) last. Columns that a batch lacks are null. Without files: no rows of the
+    given schema, or None.
+    """
+    by_schema: dict[str, tuple[T.StructType, list[str]]] = {}
+    for f in names:
+        if files := _numbered(spark, root, f, entity):
+            own = entity_schema(spark, root, f, entity)
+            by_schema.setdefault(own.json(), (own, []))[1].extend(files)
+    frames = [csv_frame(spark, files, own) for own, files in by_schema.values()]
+    if not frames:
+        if schema is None:
+            return None
+        frames = [spark.createDataFrame([], T.StructType([*schema, T.StructField("batch_folder", T.StringType()), T.StructField("file_order", T.IntegerType())]))]
+    df = union_by_name(frames)
     return df.withColumn(MERGE_KEY, id_key(df))
 
 
+def batch_rows(spark: SparkSession, root: str, folder: str, entity: str) -> DataFrame | None:
+    """One batch's rows; None without files."""
+    return of_folders(spark, root, [folder], entity)
+
+
 def changes(spark: SparkSession, root: str, entity: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame | None:
     """All batches' rows in one frame, by name, each with its folder; None without rows."""
-    frames = [(f, batch_rows(spark, root, f, entity)) for f in batch_folders(spark, root, start, end)]
-    found = [df.withColumn("batch_folder", F.lit(f)) for f, df in frames if df is not None]
-    return union_by_name(found) if found else None
+    return of_folders(spark, root, batch_folders(spark, root, start, end), entity)
 
 
 def parse_line(line: str, fields: int) -> list[str | None]:

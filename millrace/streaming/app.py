@@ -52,6 +52,19 @@ def parse_rate(text: str) -> tuple[int, timedelta]:
     return int(n), parse_duration(period)
 
 
+def format_duration(period: timedelta) -> str:
+    """Text that parse_duration() reads back."""
+    seconds = period.total_seconds()
+    for unit, size in (("hour", 3600), ("minute", 60), ("second", 1)):
+        if seconds and seconds % size == 0:
+            return f"{int(seconds // size)} {unit}{'s' if seconds != size else ''}"
+    return f"{seconds:g} seconds"
+
+
+def format_rate(rate: int, period: timedelta) -> str:
+    return f"{rate} per {format_duration(period)}"
+
+
 def one_of(settings: Mapping, *names: str) -> tuple[str, object]:
     """The first alternative that the settings have."""
     for n in names:
@@ -90,6 +103,9 @@ class Settings:
     rows_per_file: int
     chunk: int
     rate: tuple[int, timedelta]
+    burst: int
+    shaper: str
+    retry_mode: str
     target: tuple[str, str, str]
     sorted_by: tuple[str, ...]
     bloom: tuple[str, ...]
@@ -105,14 +121,14 @@ class Settings:
         mode, sink, staging, source = document.get("streamMode", {}), document.get("sink", {}), document.get("staging", {}), document.get("source", {})
         capture, backfill = mode.get("changeCapture", {}), mode.get("backfill", {})
         table, shape = staging.get("table", {}), document.get("throughput", {})
-        _, impl = one_of(shape.get("shaperImpl") or {"static": {}}, "memoryBound", "static")
+        shaper, _ = one_of(shape.get("shaperImpl") or {"static": {}}, "memoryBound", "static")
         upkeep = sink.get("maintenanceSettings", sink.get("maintenance", {}))
         threshold = lambda name: (upkeep.get(name) or {}).get("batchThreshold")
         properties = sink.get("targetTableProperties", sink.get("properties", {}))
         return Settings(
             stream_id.replace("-", "_"), kind, backfilling, backfill.get("backfillBehavior", backfill.get("behaviour", "Merge")), backfill.get("backfillStartDate"),
             parse_duration(capture.get("changeCaptureInterval", "10 seconds")), float(capture.get("changeCaptureJitterVariance", 0)), int(capture.get("changeCaptureJitterSeed", 0)), capture.get("rangeLimit"),
-            int(table.get("maxRowsPerFile", 10_000)), int(shape.get("advisedChunkSize", 10_000)), parse_rate(shape.get("advisedRate", "10000 per 1 second")),
+            int(table.get("maxRowsPerFile", 10_000)), int(shape.get("advisedChunkSize", 10_000)), parse_rate(shape.get("advisedRate", "10000 per 1 second")), int(shape.get("advisedRateBurst", shape.get("advisedBurst", 10_000))), shaper, document.get("retryMode", "always"),
             table_name(sink.get("targetTableFullName", sink.get("target", "lake.main.target"))), tuple(properties.get("sortedBy", ())), tuple(properties.get("parquetBloomFilterColumns", ())), bool(table.get("isUnifiedSchema", False)),
             FieldRule.of(source.get("fieldSelectionRule", {})), Buffering.of(source.get("buffering", {})),
             Maintenance(threshold("optimizeSettings"), threshold("snapshotExpirationSettings"), threshold("orphanFilesExpirationSettings"), threshold("analyzeSettings"), backfilling=backfilling),

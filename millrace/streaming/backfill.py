@@ -9,6 +9,8 @@ aren't read again, a shard that was being combined is merged (its rows may be th
 from __future__ import annotations
 
 import json
+import re
+import zlib
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.sizing import shard_count
 from millrace.operators.merge import MergeSpec, upsert
+from millrace.operators.reduce import latest_per_key
 from millrace.operators.table import VersionedTable, drop_by_prefix
 from millrace.streaming.watermark import PROPERTY, Watermark
 
@@ -27,9 +30,10 @@ class OverwriteBackfill:
     """``read`` gives a shard's rows, ``finish`` what is committed of all (rows as they are, or the latest of each key)."""
 
     def __init__(
-        self, spark: SparkSession, folder: str, target: VersionedTable, read: Callable[[str], DataFrame], finish: Callable[[DataFrame], DataFrame] = lambda df: df, spec: MergeSpec | None = None, parallel: int = 4, observe: Callable[[str, str], None] = lambda shard, state: None
+        self, spark: SparkSession, folder: str, target: VersionedTable, read: Callable[[str], DataFrame], finish: Callable[[DataFrame], DataFrame] = lambda df: df, spec: MergeSpec | None = None, parallel: int = 4, observe: Callable[[str, str], None] = lambda shard, state: None, version: str | None = None
     ) -> None:
         self.spark, self.folder, self.target, self.read, self.finish, self.spec, self.parallel, self.observe = spark, folder.rstrip("/"), target, read, finish, spec or upsert(), parallel, observe
+        self.version = version
 
     def _table(self, name: str) -> VersionedTable:
         return VersionedTable(self.spark, f"{self.folder}/{name}")
@@ -55,7 +59,7 @@ class OverwriteBackfill:
         self.target.overwrite(self.finish(combine.read()), **{PROPERTY: end.to_json()})
 
     def _stage(self, shard: str) -> None:
-        table = self._table(f"shard_{shard}")
+        table = self._table(shard_table(shard))
         if table.exists() and table.properties().get(PROCESSING):
             return
         rows = self.read(shard)
@@ -64,14 +68,15 @@ class OverwriteBackfill:
         self.observe(shard, STAGED)
 
     def _combine(self, shard: str, combine: VersionedTable) -> None:
-        table = self._table(f"shard_{shard}")
+        table = self._table(shard_table(shard))
         state = table.properties()[PROCESSING]
         if state == COMBINED:
             return
         rows = table.read()
         combine.migrate(rows.schema)
         if state == COMBINING:
-            combine.merge(rows, self.spec)
+            # its rows may be there already, all of them or none
+            combine.merge(latest_per_key(rows, self.spec.key, self.version) if self.version else rows, self.spec)
         else:
             table.set_properties(**{PROCESSING: COMBINING})
             self.observe(shard, COMBINING)
@@ -83,6 +88,12 @@ class OverwriteBackfill:
         return drop_by_prefix(self.spark, self.folder, "shard_") + drop_by_prefix(self.spark, self.folder, "combine")
 
 
+def shard_table(shard: str) -> str:
+    """A table's name for a shard, which may be a folder or the path of a list."""
+    plain = re.sub(r"\W+", "_", shard)
+    return f"shard_{plain}" if plain == shard else f"shard_{plain[-60:]}_{zlib.crc32(shard.encode()):08x}"
+
+
 def sql_shards(pages: int, megabytes_per_shard: float) -> list[str]:
     return [str(k) for k in range(shard_count(pages, megabytes_per_shard))]
 

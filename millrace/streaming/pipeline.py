@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import random
 import threading
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -16,6 +17,8 @@ from millrace.operators.reduce import has_rows, latest_per_key
 from millrace.operators.select import FieldRule, select_fields
 from millrace.operators.table import VersionedTable
 from millrace.streaming.maintenance import Maintenance
+from millrace.streaming.metrics import Metrics
+from millrace.streaming.throughput import Shaper, Throttle, chunks
 from millrace.streaming.watermark import PROPERTY, Watermark, current
 
 BATCH = "last-batch"
@@ -23,7 +26,11 @@ BATCH = "last-batch"
 
 @dataclass
 class Pipeline:
-    """How changesets become the target: the merge, the version column and its ties, the fields, the upkeep."""
+    """How changesets become the target: the merge, the version column and its ties, the fields, the upkeep.
+
+    With ``staging`` (a path that names of tables are added to) the reduced changeset is written there first, so that it is
+    computed once, and its table is disposed of after the merge. ``shaper`` cuts it into chunks, ``throttle`` spaces them.
+    """
 
     target: VersionedTable
     spec: MergeSpec
@@ -33,26 +40,54 @@ class Pipeline:
     migrates: bool = True
     maintenance: Maintenance | None = None
     small_source: bool = False
+    staging: str | None = None
+    shaper: Shaper | None = None
+    throttle: Throttle | None = None
+    metrics: Metrics = field(default_factory=Metrics)
 
     def apply(self, changes: DataFrame, watermark: Watermark | None = None, batch: int | None = None) -> bool:
         """Merges one changeset and commits its watermark and batch number with it. False if there was nothing to do.
 
         A batch that was committed before is left out, so a restarted query may offer it again. An empty changeset only
-        moves the watermark.
+        moves the watermark. Of several chunks, the last one's commit has the watermark: a run that is cut off before it
+        merges the others again, which changes nothing.
         """
         done = self.target.properties()
         if batch is not None and int(done.get(BATCH, -1)) >= batch:
             return False
         properties = ({PROPERTY: watermark.to_json()} if watermark else {}) | ({BATCH: str(batch)} if batch is not None else {})
-        rows = select_fields(changes, self.rule, keep_essential=True)
-        if not has_rows(rows):
-            if properties:
-                self.target.set_properties(**properties)
-            return False
-        reduced = latest_per_key(rows, self.spec.key, self.version, self.ties)
-        if self.migrates:
-            self.target.migrate(reduced.schema)
-        self.target.merge(reduced, self.spec, self.small_source, **properties)
+        reduced = latest_per_key(select_fields(changes, self.rule, keep_essential=True), self.spec.key, self.version, self.ties)
+        staged = VersionedTable(reduced.sparkSession, f"{self.staging}{uuid.uuid4().hex}", key=self.spec.key) if self.staging else None
+        try:
+            if staged:
+                with self.metrics.timed("batch.stage_duration"):
+                    staged.overwrite(reduced)
+                n, reduced = staged.stats()["rows"], staged.read()
+                self.metrics.count("rows.staged", n)
+            else:
+                n = None if has_rows(reduced) else 0
+            if n == 0:
+                if properties:
+                    self.target.set_properties(**properties)
+                return False
+            if self.migrates:
+                self.target.migrate(reduced.schema)
+            shape = self.shaper.shape(self.target) if self.shaper and n else None
+            parts = list(chunks(reduced, self.spec.key, n, shape.chunk)) if shape else [reduced]
+            for k, part in enumerate(parts):
+                if self.throttle and n:
+                    self.metrics.gauge("batch.throttled_duration", 1000 * self.throttle.take(n // len(parts)))
+                with self.metrics.timed("batch.merge_duration"):
+                    self.target.merge(part, self.spec, self.small_source, **(properties if k == len(parts) - 1 else {}))
+            if shape:
+                self.metrics.gauge("rows.chunk_size", shape.chunk)
+        finally:
+            if staged:
+                with self.metrics.timed("batch.dispose_duration"):
+                    staged.drop()
+        if watermark:
+            self.metrics.count("watermark.updates", 1)
+            self.metrics.gauge("watermark.age", watermark.age())
         if self.maintenance:
             self.maintenance.after_batch(self.target)
         return True
@@ -93,11 +128,13 @@ def poll_once(pipeline: Pipeline, source: ChangeSource) -> Watermark | None:
     return upto
 
 
-def run_polling(pipeline: Pipeline, source: ChangeSource, stop: threading.Event, seconds: float = 10, variance: float = 0.1, seed: int = 0) -> int:
-    """Change capture until ``stop`` is set; catches up without waiting. Returns the number of changesets."""
+def run_polling(pipeline: Pipeline, source: ChangeSource, stop: threading.Event, seconds: float = 10, variance: float = 0.1, seed: int = 0, until_caught_up: bool = False) -> int:
+    """Change capture until ``stop`` is set, or until there is nothing new; catches up without waiting. Returns the number of changesets."""
     rng, n = random.Random(seed), 0
     while not stop.is_set():
         if poll_once(pipeline, source) is None:
+            if until_caught_up:
+                break
             stop.wait(jittered_seconds(seconds, variance, rng))
         else:
             n += 1
@@ -107,7 +144,7 @@ def run_polling(pipeline: Pipeline, source: ChangeSource, stop: threading.Event,
 def run_backfill_merge(pipeline: Pipeline, source: ChangeSource, start: Watermark | None) -> Watermark:
     """Everything from a start to the current position as one changeset, without upkeep."""
     upto = source.latest(start)
-    Pipeline(pipeline.target, pipeline.spec, pipeline.version, pipeline.ties, pipeline.rule, pipeline.migrates).apply(source.read(start, upto), upto)
+    replace(pipeline, maintenance=None, shaper=None, throttle=None).apply(source.read(start, upto), upto)
     return upto
 
 

@@ -41,7 +41,7 @@ def test_keys_need_their_columns(spark):
     with pytest.raises(ValueError):
         k.id_key(df, "Ident")
     assert k.normalize_names(spark.sql("SELECT 1 AS `c/d`")).columns == ["cd"]
-    assert spark.sql("SELECT 'a,\"b\nc\",d\ne' AS x").select(k.unquoted_newlines_removed(F.col("x")).alias("y")).first().y == 'a,"bc",d\ne'
+    assert spark.sql("SELECT 'a,\"b\nc\",d\ne' AS x").select(k.quoted_newlines_removed(F.col("x")).alias("y")).first().y == 'a,"bc",d\ne'
 
 
 @pytest.mark.parametrize("spec,columns", [(m.change_tracking("k", "op", "ver"), "ct"), (m.tombstone("k", "gone", "ver"), "tomb"), (m.upsert("k", "ver"), "up")])
