@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import changes, documents, merges, streams  # noqa: F401  each registers its queries
+from millrace.plans import changes, documents, merges, services, streams  # noqa: F401  each registers its queries
 from millrace.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

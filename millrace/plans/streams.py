@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.sql import functions as F
@@ -20,10 +22,10 @@ from millrace.streaming.watermark import version_watermark
 
 
 def work_folder(spark) -> str:
-    """A folder for tables: in the shared folder that the cluster names, or a temporary one where it names none."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
-
+    """A folder for tables: in the shared folder that the cluster names. Only a local master gets a temporary one where it names none."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared.rstrip('/')}/millrace-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="millrace-")
 
 
@@ -56,7 +58,9 @@ _NOW = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 def _source(spark, sf_dir, step):
     _, changes = merges.event_sides(spark, sf_dir)
-    changes = changes.cache()
+    folder = work_folder(spark)  # the changes are reduced once, not at every step
+    changes.write.parquet(f"{folder}/changes")
+    changes = spark.read.schema(changes.schema).parquet(f"{folder}/changes")
     top = changes.agg(F.max("versionnumber")).first()[0]
     mark = lambda v: version_watermark(v, _NOW)
     return ChangeSource(
@@ -68,10 +72,10 @@ def _source(spark, sf_dir, step):
 @query(_TOMB)
 def change_capture_polling(spark, sf_dir):
     """Change capture in four ranges of versions, with the watermark committed beside the data."""
-    base, changes = merges.event_sides(spark, sf_dir)
+    base, _ = merges.event_sides(spark, sf_dir)
     target = VersionedTable(spark, work_folder(spark))
     target.overwrite(base)
-    top = changes.agg(F.max("versionnumber")).first()[0]
+    top = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
     source, pipeline = _source(spark, sf_dir, -(-top // 4)), Pipeline(target, m.tombstone(), "versionnumber")
     while poll_once(pipeline, source) is not None:
         pass

@@ -126,7 +126,7 @@ def folder_source(spark: SparkSession, settings: Settings, staging: str) -> Sour
     return Source(
         whole.schema, m.tombstone(), "versionnumber",
         ChangeSource(lambda _: folder_watermark(listed()[-1]), lambda before, top: folder_watermark((later(before) or [top.version])[: settings.range_limit][-1]), read),
-        listed, lambda f: reduced(folders.of_folders(spark, root, [f], entity, empty)), lambda df: latest_then_live(df, MERGE_KEY, "versionnumber", F.col("IsDelete"), ("file_order",)), ("file_order",),
+        listed, lambda f: reduced(folders.of_folders(spark, root, [f], entity, empty)), lambda df: latest_then_live(df, MERGE_KEY, "versionnumber", F.col("IsDelete"), ("IsDelete",)), ("IsDelete",),  # of equal versions, a tombstone is the later one
     )
 
 

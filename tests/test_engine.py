@@ -344,3 +344,124 @@ def test_metrics_listener():
     listener.onQueryProgress(N(progress=N(numInputRows=5, batchDuration=7)))
     listener.onQueryTerminated(N(exception=None))
     assert listener.totals["rows_incoming"] == 5 and listener.totals["queries_ended"] == 1 and sent[0] == ("rows_incoming", 5, {"stream_id": "s"})
+
+
+def test_one_of_several_writers_commits(spark, tmp_path):
+    """Four writers race for each version: just one succeeds, and no row or watermark of another is seen."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    t = VersionedTable(spark, f"file://{tmp_path}/t").create(T.StructType().add("a", "long"))
+    for n in range(50):
+        s = t.state()
+
+        def commit(k, s=s, n=n):
+            other = VersionedTable(spark, f"file://{tmp_path}/t")
+            try:
+                other._commit(type(s)(s.version + 1, s.schema, s.files, s.properties | {"by": f"{n}-{k}"}))
+                return k
+            except CommitConflict:
+                return None
+
+        with ThreadPoolExecutor(4) as pool:
+            won = [k for k in pool.map(commit, range(4)) if k is not None]
+        assert len(won) == 1 and t.properties()["by"] == f"{n}-{won[0]}" and t.state().version == s.version + 1
+    assert not [p for p in (tmp_path / "t" / "_meta").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+def test_merge_keeps_untouched_files(spark, tmp_path):
+    t = VersionedTable(spark, f"file://{tmp_path}/t", rows_per_file=10, clustered=True)
+    rows = spark.range(100).select(F.format_string("%03d", "id").alias("merge_key"), F.lit(1).cast("long").alias("createdon"))
+    either = "merge_key string, createdon long"
+    t.overwrite(rows.union(spark.createDataFrame([(None, 1)], either)))
+    before = {f["path"] for f in t.state().files}
+    t.merge(spark.createDataFrame([("005", 2), ("zzz", 2), (None, 3)], either), m.upsert())
+    kept = before & {f["path"] for f in t.state().files}
+    assert len(before) - len(kept) == 1 and t.read().count() == 103 and t.read().where("merge_key = '005' AND createdon = 2").count() == 1
+    assert t.stats()["rows"] == 103
+    t.merge(rows.limit(0), m.upsert())
+    assert t.read().count() == 103 and VersionedTable(spark, f"file://{tmp_path}/e", clustered=True).create(rows.schema).merge(rows, m.upsert()).version == 1
+
+
+def test_throttle_and_shapes(spark, tmp_path):
+    from millrace.streaming.throughput import ESTIMATES, Shaper, Throttle
+
+    clock, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        clock[0] += seconds
+
+    t = Throttle(100, timedelta(seconds=1), 50, sleep, lambda: clock[0])
+    assert t.take(50) == 0 and t.take(100) == 1.0 and t.take(100) == 1.0 and sum(slept) == 2.0
+    table = VersionedTable(spark, f"file://{tmp_path}/t").create(T.StructType().add("a", "string"))
+    table.append(spark.createDataFrame([("x" * 100,)] * 10, "a string"))
+    shaper = Shaper("memoryBound", sizing.Shape(1000, 100, 50), now=lambda: clock[0])
+    assert shaper.shape(table).chunk == 1000 and json.loads(table.properties()[ESTIMATES])["row_bytes"] == 28 + 64 + 40 + 200
+    version = table.state().version
+    shaper.shape(table)
+    assert table.state().version == version
+    clock[0] += 4000
+    shaper.shape(table)
+    assert table.state().version == version + 1
+    assert Shaper("static", sizing.Shape(7, 8, 9)).shape(table) == sizing.Shape(7, 8, 9)
+
+
+def test_runner_maps_failures(spark, tmp_path):
+    from millrace.streaming import runner
+
+    run = lambda document, kind: runner.run_from_settings(spark, document, f"file://{tmp_path}", "s", kind, until_caught_up=True)
+    assert run({}, "unknown") == 1 and run({"sink": {"targetTableFullName": "a.b"}}, "files") == 1
+    assert run({"retryMode": "never", "source": {"configuration": {"format": "parquet", "path": f"{tmp_path}/absent", "keys": ["a"]}}}, "files") == 2
+
+
+def test_run_goes_on_where_it_stopped(spark, tmp_path):
+    """A file stream runs twice: the second run takes only what came later; metrics and maintenance run along."""
+    import os
+
+    from millrace.streaming import runner
+
+    folder, sent = f"file://{tmp_path}", []
+    document = {"sink": {"targetTableFullName": "a.b.c", "maintenanceSettings": {"optimizeSettings": {"batchThreshold": 1}}}, "source": {"configuration": {"format": "parquet", "path": f"{folder}/in", "keys": ["x"]}}}
+    for n, rows in enumerate(([(1, "a"), (2, "b")], [(2, "c"), (3, "d")])):
+        spark.createDataFrame(rows, "x long, v string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        for p in (tmp_path / "in").glob("*.parquet"):
+            if p.stat().st_mtime > 1_900_000_000 or p.stat().st_mtime > 1_000_000_100 + n:
+                os.utime(p, (1_000_000_000 + n * 50, 1_000_000_000 + n * 50))
+        assert runner.run_from_settings(spark, document, folder, "s-1", "files", sink=lambda *x: sent.append(x), until_caught_up=True) == 0
+    t = VersionedTable(spark, f"{folder}/a/b/c")
+    assert {r.x: r.v for r in t.read().collect()} == {1: "a", 2: "c", 3: "d"} and w.current(t) == w.file_watermark(1_000_000_050)
+    assert {"rows.staged", "batch.merge_duration", "watermark.updates"} <= {n for n, _, _ in sent} and all(tags["stream_id"] == "s-1" for _, _, tags in sent)
+    assert not [p for p in (tmp_path / "staging").iterdir()] if (tmp_path / "staging").exists() else True
+
+
+def test_statsd_sink():
+    import socket
+
+    from millrace.streaming.metrics import Metrics, statsd
+
+    server = socket.socket(socket.AF_INET, socket.SOCK_DGRAM)
+    server.bind(("127.0.0.1", 0))
+    server.settimeout(5)
+    metrics = Metrics(statsd(f"127.0.0.1:{server.getsockname()[1]}"), {"stream_id": "s"})
+    metrics.count("rows.staged", 3)
+    with metrics.timed("batch.stage_duration"):
+        pass
+    assert server.recv(200) == b"millrace.stream.rows.staged:3|c|#stream_id:s" and server.recv(200).split(b":")[0] == b"millrace.stream.batch.stage_duration"
+
+
+def test_jdbc_options_and_scalars(spark):
+    whole = ct.jdbc_options("jdbc:x", "SELECT 1", 500)
+    assert whole == {"url": "jdbc:x", "fetchsize": "500", "query": "SELECT 1"}
+    parts = ct.jdbc_options("jdbc:x", "SELECT a FROM t", split=("a", 1, 99, 4))
+    assert "query" not in parts and parts["dbtable"] == "(SELECT a FROM t) q" and (parts["partitionColumn"], parts["lowerBound"], parts["upperBound"], parts["numPartitions"]) == ("a", "1", "99", "4")
+    assert r.scalar(spark.range(7, 8)) == 7 and r.scalar(spark.range(0)) is None
+    for wrong in (spark.range(2), spark.range(1).selectExpr("id", "id AS b")):
+        with pytest.raises(ValueError):
+            r.scalar(wrong)
+
+
+def test_documented_limits_of_keys(spark):
+    a, b = "x" * 128 + "a", "x" * 128 + "b"
+    df = spark.createDataFrame([(a, "1", "23"), (b, "12", "3")], "k string, p string, q string")
+    assert df.select(k.hashed_key("k")).distinct().count() == 1 and df.select(k.hashed_key("k", most_chars=None)).distinct().count() == 2
+    assert df.select(k.blob_key(df, ["p", "q"])).distinct().count() == 1 and df.select(k.blob_key(df, ["p", "q"], separator="#")).distinct().count() == 2
