@@ -78,3 +78,17 @@ def test_op2_edges(spark):
     assert len(got) == 6 and sorted(r.slot * 4 + r.shard for r in got) == list(range(6))
     assert {(r.doc_id, r.size) for r in got} == {(None, 16), (None, 17), (5, 18), (-3, 16), (2**62, 40_016)}
     assert fs.assign_shards(df.limit(0), 4).count() == 0
+
+
+def test_op2_ids_of_any_spread(spark):
+    """An outlier, hashed ids and a row that a third of the table repeats: no range has more than twice its part."""
+    from pyspark.sql import functions as F
+
+    from millrace.llm.common import in_order
+
+    df = spark.range(120_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") == 1, F.lit(2**62)).otherwise(F.xxhash64("id")).alias("doc_id"), F.lit("x").alias("text"))
+    sizes = [r["count"] for r in in_order(df, ["doc_id"], 16).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 16 and max(sizes) <= 2 * 120_000 / 16
+    got = fs.assign_shards(df, 4)
+    assert got.agg(F.countDistinct("row_number")).first()[0] == 120_000 and got.agg(F.max("row_number")).first()[0] == 119_999
+    assert got.where("doc_id = 7").agg(F.max("row_number") - F.min("row_number") + 1).first()[0] == 40_000

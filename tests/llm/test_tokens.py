@@ -160,3 +160,42 @@ def test_tree_of_rounds_covers_every_place():
         assert a // 256 == (a + m - 1) // 256
         seen[a : a + m] += 1
     assert (seen == 1).all()
+
+
+def test_op9_does_not_depend_on_partitions(spark):
+    rows = [(k % 90 if k % 10 else None, f"text {k % 40} " * (1 + k % 13), f"s{k % 3}" if k % 7 else None) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    key = lambda p: tuple(-1 if x is None else x for x in p)
+    found = [sorted(map(key, dp.pack(df.repartition(n), dp.word_vocabulary(), sequence=256).collect())) for n in (2, 5)]
+    assert found[0] == found[1] and len(found[0]) >= 200
+
+
+def test_op9_shares_of_small_sources(spark):
+    """A source with few rows holds the share it is given until it is used up; the others share the rest."""
+    text = " ".join(f"w{j}" for j in range(60))
+    four = spark.createDataFrame([(k, text, "abcd"[k % 4]) for k in range(400)], "doc_id long, text string, source string")
+    rare = spark.createDataFrame([(k, text, "rare" if k % 400 == 7 else "big") for k in range(2000)], "doc_id long, text string, source string")
+    for df, source, share, windows in ((four, "a", 0.5, 10), (rare, "rare", 0.5, 3)):
+        own = {r.doc_id for r in df.where(f"source = '{source}'").collect()}
+        shares = {source: share} if source == "a" else {"rare": 0.5, "big": 0.5}
+        pieces = dp.pack(df, dp.word_vocabulary(), sequence=256, shares=shares).collect()
+        for k in range(windows):
+            assert abs(sum(p.length for p in pieces if p.sequence_id == k and p.doc_id in own) - 128) <= df.select("source").distinct().count()
+
+
+def test_op8_files_outlive_and_ids_spread(spark, tmp_path):
+    """Files in a folder of their own, read by a manifest that was kept; an outlier and a repeated id don't crowd a task."""
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20_000).select(F.when(F.col("id") == 0, F.lit(2**62)).when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("doc_id"), F.lit("same words " * 200).alias("text"))
+    folder, _ = tf.write_token_files(ids, tf.byte_vocabulary(), shard_bytes=1 << 20, destination=f"file://{tmp_path}/out", task_bytes=4 << 20)
+    manifest = tf.read_manifest(spark, folder)
+    rows = manifest.orderBy("shard").collect()
+    per_task = {}
+    for r in rows:
+        per_task[r.shard // tf.FILES_PER_TASK] = per_task.get(r.shard // tf.FILES_PER_TASK, 0) + r.n_docs
+    assert sum(per_task.values()) == 20_000 and max(per_task.values()) <= 2 * 20_000 / len(per_task) and len(per_task) > 5 and len(rows) > len(per_task)
+    got = tf.read_token_files(folder, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and got[-1].doc_id == 2**62
+    with pytest.raises(FileExistsError):
+        tf.write_token_files(ids.limit(1), tf.byte_vocabulary(), destination=folder)
