@@ -10,6 +10,7 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes hashed by a table of their own per place; longer spans are taken in blocks of so many.
 PLACES = 64
+HASHED_BYTES = 1 << 19
 _TABLE = np.random.default_rng(20_240_901).integers(0, 2**64, PLACES * 256, dtype=np.uint64)
 
 
@@ -77,7 +78,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray) ->
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans (all of them non-empty).
+    """64-bit hashes of the byte spans (all of them non-empty), worked out for about HASHED_BYTES at a time.
 
     Each byte has a random number per place in a block of PLACES bytes; a block's sum is mixed with its number, and the
     sum of the blocks with the length, so that no pattern of repeated bytes cancels out.
@@ -85,6 +86,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = ends - starts
+    total = np.cumsum(lengths)
+    if len(starts) > 1 and total[-1] > HASHED_BYTES:
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(HASHED_BYTES, total[-1], HASHED_BYTES)) + 1, [len(starts)])))
+        parts = [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        if len(parts) > 1:
+            return np.concatenate([span_hashes(data, starts[a:b], ends[a:b]) for a, b in parts])
     blocks = (lengths + (PLACES - 1)) // PLACES
     if int(blocks.max()) == 1:
         begin, size, number, first = starts, lengths, None, None

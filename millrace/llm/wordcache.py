@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Parts in a generation of the cache; when it is full, it becomes the old one, from which parts in use are taken over.
-MOST_PARTS = 500_000
+MOST_PARTS = 200_000
 SEPARATOR = "<|endoftext|>"
 #: A run of letters is one piece, so the library's merges can be called on it directly; so is a run of signs after it.
 _LETTERS = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)").fullmatch
