@@ -126,13 +126,21 @@ def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: What goes to a Python worker at a time: Arrow buffers on both sides are as large as a batch.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers of the session, once, so that they need no installation of their own."""
+    """Gives this package to the Python workers of the session, once, so that they need no installation of their own.
+
+    It also keeps the session's Arrow batches small, by rows and by bytes, so that many or long texts don't fill a worker.
+    """
     import zipfile
     from pathlib import Path
 
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(name, "0")) or 0) <= most:
+            spark.conf.set(name, most)
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
