@@ -139,8 +139,9 @@ def ship(spark: SparkSession) -> None:
     from pathlib import Path
 
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        if not 0 < int(re.sub(r"\D", "", spark.conf.get(name, "0")) or 0) <= most:
-            spark.conf.set(name, most)
+        held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+        if not 0 < held <= most:
+            spark.conf.set(name, str(most))
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
