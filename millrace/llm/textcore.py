@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from millrace.llm import wordcache
+
 U64 = np.uint64
 #: Bytes hashed by a table of their own per place; longer spans are taken in blocks of so many.
 PLACES = 64
@@ -41,6 +43,7 @@ def text_slices(column: pa.Array, most_bytes: int = 1 << 21) -> Iterator[tuple[i
 
     A stretch has at most ``most_bytes`` bytes, or a single longer text whole.
     """
+    wordcache.release()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())

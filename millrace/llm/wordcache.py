@@ -8,6 +8,8 @@ space at either end) are encoded whole.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 from array import array
@@ -140,3 +142,15 @@ def tokenizer(path: str) -> CachedTokenizer:
         _LOADED.clear()
         _LOADED[path] = CachedTokenizer(path)
     return _LOADED[path]
+
+
+def release() -> None:
+    """Lets the process's tokenizer and its cache go: a worker that is used again for other work needs the memory."""
+    if not _LOADED:
+        return
+    _LOADED.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
