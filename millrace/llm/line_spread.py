@@ -59,7 +59,11 @@ def boilerplate(documents: DataFrame, sites: int, counted: str = FOUR_WORDS) ->
 
 
 def _gone(flagged) -> F.Column:
-    """Tells, for the line hashes of a document, which are flagged and kept by another document."""
+    """Tells, for the line hashes of a document, which are flagged and kept by another document.
+
+    It counts as nondeterministic, so that a filter on the text that is left doesn't evaluate it again: a second one in a
+    task has a Python worker of its own, and an executor keeps that for later stages.
+    """
 
     @F.arrow_udf(ArrayType(BooleanType()))
     def gone(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -73,7 +77,7 @@ def _gone(flagged) -> F.Column:
             ends = np.concatenate(([0], np.cumsum(sizes)))
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hit))
 
-    return gone
+    return gone.asNondeterministic()
 
 
 def without_boilerplate(documents: DataFrame, sites: int = 10, counted: str = FOUR_WORDS) -> DataFrame:

@@ -128,6 +128,12 @@ def test_pipeline_removes_short_boilerplate(spark):
     assert got[0] == rows[0][1] and got[8] == "Own 8.\n\nNine." and got[11] == "Own 11.\n"
 
 
+def test_pipeline_marks_lines_once(spark, sf):
+    """The filter on the text that is left doesn't mark lines again, in Python workers of its own."""
+    out = corpus_pipeline.line_dedup(spark, read(spark, sf, "documents"), sf)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_pipeline_run(spark, sf):
     whole = corpus_pipeline.run(spark, sf)
     assert whole.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(whole.columns)
