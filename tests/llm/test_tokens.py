@@ -199,3 +199,55 @@ def test_op8_files_outlive_and_ids_spread(spark, tmp_path):
     assert [r.doc_id for r in got] == sorted(r.doc_id for r in got) and got[-1].doc_id == 2**62
     with pytest.raises(FileExistsError):
         tf.write_token_files(ids.limit(1), tf.byte_vocabulary(), destination=folder)
+
+
+def test_op8_tokenizes_a_word_once(tmp_path, monkeypatch):
+    """A task's writer asks the library for each of 450,000 words once, though they come twice."""
+    from itertools import product
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from millrace.llm import wordcache
+
+    words = ["".join(x) for x in product("abcdefghijklmnopqrstuvwxyz", repeat=4)][:450_000]
+    texts = [" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)]
+    asked = []
+
+    def counted(*args):
+        tok = wordcache.tokenizer(*args)
+        if not asked:
+            real, _ = tok.model, asked.append(0)
+
+            def tokenize(piece):
+                asked[0] += 1
+                return real.tokenize(piece)
+
+            tok.model = SimpleNamespace(tokenize=tokenize)
+        return tok
+
+    wordcache.release()
+    monkeypatch.setattr(tf, "tokenizer", counted)
+    monkeypatch.setattr(tf, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    manifest = list(tf._writer(str(tmp_path), tf.byte_vocabulary(), 0, 1 << 30)([batch, batch]))
+    wordcache.release()
+    assert len(words) <= asked[0] <= len(words) + len(texts)
+    assert manifest[0].column(1).to_pylist() == [2 * len(texts)]
+    ids, offsets, _ = tf.open_shard(str(tmp_path), 0, 2)
+    plain = Tokenizer.from_file(tf.byte_vocabulary())
+    for k in (0, 1, 449, 450, 899):
+        assert ids[offsets[k] : offsets[k + 1]].tolist() == [*plain.encode(texts[k % 450], add_special_tokens=False).ids, 0]
+
+
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_full_cache_keeps_to_its_size(file, monkeypatch):
+    """A cache that is full again and again, also within a text, and texts that hold the characters it uses itself."""
+    path = public_tokenizers.path(file)
+    odd = ["a\x01b c", "\x01", "\x01 x", "x \x01y", "a\n\x01b", "a\n", "Ünï, the&&& 7 the, 7", "\n", "привет, мир. привет! 12 12"]
+    texts = odd + [" ".join(f"{'abcdefghij'[j % 10] * (1 + j % 7)}{'.,!'[j % 3] * (j % 4)} the w{j * k}" for j in range(90)) for k in range(60)] + odd
+    monkeypatch.setattr("millrace.llm.wordcache.STRETCH", 40)
+    plain, cached = Tokenizer.from_file(path), CachedTokenizer(path, 100)
+    for t, ids in zip(texts, cached.encode(texts), strict=True):
+        assert np.frombuffer(ids, cached.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert 0 < len(cached.parts) <= 100
