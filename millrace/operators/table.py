@@ -18,7 +18,7 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,12 +161,16 @@ class VersionedTable:
         if self.sorted_by:
             df = sorted_for_write(df, self.sorted_by)
         rows = self.rows_per_file or max(10_000, self.file_bytes // max(1, row_bytes(df.schema) // 4))
-        writer = df.write.format(self.file_format).option("maxRecordsPerFile", rows)
-        for c in self.bloom:
-            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-        writer.save(f"{self.path}/{folder}")
+        self._writer(df, rows).option("maxRecordsPerFile", rows).save(f"{self.path}/{folder}")
         return self._described(folder, df.schema)
 
+    def _writer(self, df: DataFrame, rows: int) -> DataFrameWriter:
+        """Writes with the table's Bloom filters, made for ``rows`` rows a file: without a number, each takes 1 MB in the smallest file."""
+        writer = df.write.format(self.file_format)
+        for c in self.bloom:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", rows)
+        return writer
+
     def _described(self, folder: str, schema: T.StructType) -> list[dict]:
         sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.getPath().getName()[:1] not in ("_", ".")}
         if not sizes:
@@ -251,12 +255,12 @@ class VersionedTable:
         """Rewrites the rows into files of about the target size."""
         s = self.state()
         n = max(1, round(sum(f["bytes"] for f in s.files) / target_bytes))
-        self._commit(State(s.version + 1, s.schema, self._write_compact(self.read(), n), s.properties))
+        self._commit(State(s.version + 1, s.schema, self._write_compact(self.read(), n, sum(f["rows"] for f in s.files)), s.properties))
 
-    def _write_compact(self, df: DataFrame, files: int) -> list[dict]:
+    def _write_compact(self, df: DataFrame, files: int, rows: int) -> list[dict]:
         folder = f"data/{uuid.uuid4().hex}"
         df = df.repartitionByRange(files, self.key) if self.clustered and self.key in df.columns else df.repartition(files)
-        (sorted_for_write(df, self.sorted_by) if self.sorted_by else df).write.format(self.file_format).save(f"{self.path}/{folder}")
+        self._writer(sorted_for_write(df, self.sorted_by) if self.sorted_by else df, max(1, -(-rows // files))).save(f"{self.path}/{folder}")
         return self._described(folder, df.schema)
 
     def expire_versions(self, older_than_seconds: float, keep: int = 1) -> list[int]:

@@ -172,4 +172,6 @@ def table_maintenance(spark, sf_dir):
     upkeep = Maintenance(optimize=1, expire=1, orphans=1, analyze=1, keep_seconds=0)
     upkeep.after_batch(t)
     stats = t.stats()
-    return t.read().agg(F.count("*").alias("n_rows"), F.lit(1 if stats["files"] <= 8 else 0).cast("long").alias("optimized"), (F.sum("o_totalprice") > 0).alias("positive"))
+    # one file, or files of half the target size at least: however many the rows make
+    compact = stats["files"] <= 1 or stats["bytes"] >= stats["files"] * upkeep.target_bytes / 2
+    return t.read().agg(F.count("*").alias("n_rows"), F.lit(1 if compact else 0).cast("long").alias("optimized"), (F.sum("o_totalprice") > 0).alias("positive"))

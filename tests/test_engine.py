@@ -163,6 +163,32 @@ def test_versioned_table(spark, tmp_path):
     assert drop_by_prefix(spark, f"file://{tmp_path}", "t") == ["t"] and not t.exists()
 
 
+def test_bloom_filters_fit_files(spark, tmp_path):
+    """Filters are made for a file's rows, so small files look small to optimize(), which writes them again."""
+    t = VersionedTable(spark, f"file://{tmp_path}/t", rows_per_file=100, bloom=("a",))
+    t.overwrite(spark.range(1000).select(F.col("id").alias("a")).coalesce(1))
+    assert t.stats()["files"] == 10 and t.stats()["bytes"] < 20_000
+    t.optimize()
+    jvm = spark._jvm.org.apache
+    (file,) = t.state().files
+    found = jvm.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.hadoop.fs.Path(f"{t.path}/{file['path']}"), spark._jsc.hadoopConfiguration())
+    reader = jvm.parquet.hadoop.ParquetFileReader.open(found)
+    assert reader.getFooter().getBlocks().get(0).getColumns().get(0).getBloomFilterOffset() > 0 and file["bytes"] < 20_000
+    reader.close()
+
+
+def test_upkeep_of_many_target_files(spark, sf, monkeypatch):
+    """Rows that make more than a few files of the target size are compact too; files that were left small aren't."""
+    from millrace.plans import streams
+
+    monkeypatch.setattr(streams, "Maintenance", lambda **more: Maintenance(target_bytes=2_000, **more))
+    monkeypatch.setattr(streams, "VersionedTable", lambda *a, **more: VersionedTable(*a, **more | {"rows_per_file": 20}))
+    assert streams.table_maintenance(spark, sf).first().optimized == 1
+    monkeypatch.setattr(VersionedTable, "optimize", lambda *_: None)
+    monkeypatch.setattr(streams, "Maintenance", Maintenance)
+    assert streams.table_maintenance(spark, sf).first().optimized == 0
+
+
 def test_maintenance_thresholds_and_failures():
     class Broken:
         def optimize(self, *_):
