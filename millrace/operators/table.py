@@ -33,8 +33,9 @@ from millrace.operators.schema import aligned, evolved, missing_fields
 class State:
     version: int
     schema: T.StructType
-    files: list[dict]  # path, and rows, bytes, and by column low and high where they're known
+    files: list[dict]  # path, rows, bytes, how many files its folder was written with (of), and low and high of the key where they're known
     properties: dict[str, str] = field(default_factory=dict)
+    gone: dict[str, list[str]] = field(default_factory=dict)  # names of files that the version no longer has, by folders of which it has others
 
 
 class CommitConflict(RuntimeError):
@@ -43,6 +44,8 @@ class CommitConflict(RuntimeError):
 
 #: Keys of a source that are looked up among the files' bounds on the driver.
 MOST_KEYS = 100_000
+#: Up to so many files are listed by path; of more, whole folders are, with up to as many names left out as MOST_GONE.
+FEW_FILES, MOST_GONE = 32, 1_000
 #: File systems whose create-without-overwriting is one atomic step; others are refused.
 ATOMIC_CREATE = ("hdfs", "viewfs", "abfs", "abfss", "gs")
 
@@ -72,7 +75,10 @@ class VersionedTable:
         return bool(self._versions())
 
     def _text(self, path: str) -> str:
-        """A small file's text, read on the driver without a job."""
+        """A metadata file's text, read on the driver without a job."""
+        if self._fs.getUri().getScheme() == "file":
+            with open(self._path(path).toUri().getPath(), encoding="utf-8") as f:
+                return f.read()
         stream = self._fs.open(self._path(path))
         try:
             return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -82,7 +88,7 @@ class VersionedTable:
     def state(self, version: int | None = None) -> State:
         version = version if version is not None else self._versions()[-1]
         found = json.loads(self._text(f"{self.path}/_meta/{version:09d}.json"))
-        return State(version, T.StructType.fromJson(found["schema"]), found["files"], found["properties"])
+        return State(version, T.StructType.fromJson(found["schema"]), found["files"], found["properties"], found.get("gone", {}))
 
     def _create(self, path: str, text: str) -> bool:
         """Makes a whole file under a name that is free; False where it is taken. Two callers never both succeed."""
@@ -122,7 +128,7 @@ class VersionedTable:
         return self._path(self.path).toUri().getPath()
 
     def _commit(self, state: State) -> State:
-        text = json.dumps({"schema": state.schema.jsonValue(), "files": state.files, "properties": state.properties})
+        text = json.dumps({"schema": state.schema.jsonValue(), "files": state.files, "properties": state.properties, "gone": state.gone})
         if not self._create(f"/_meta/{state.version:09d}.json", text):
             raise CommitConflict(f"{self.path} has a version {state.version} already")
         return state
@@ -139,7 +145,29 @@ class VersionedTable:
     def _files(self, state: State, files: Sequence[Mapping]) -> DataFrame:
         if not files:
             return self.spark.createDataFrame([], state.schema)
-        return self.spark.read.schema(state.schema).format(self.file_format).load([f"{self.path}/{f['path']}" for f in files])
+        paths, gone = self._scanned(state, files)
+        found = self.spark.read.schema(state.schema).format(self.file_format).load([f"{self.path}/{p}" for p in paths])
+        return found.where(~F.col("_metadata.file_name").isin(gone)) if gone else found
+
+    def _scanned(self, state: State, files: Sequence[Mapping]) -> tuple[list[str], list[str]]:
+        """What a scan of many files lists: folders instead of each file, and the names that don't count there.
+
+        A folder is taken if the files and those known to be gone are all that it was written with.
+        """
+        if len(files) <= FEW_FILES:
+            return [f["path"] for f in files], []
+        by: dict[str, list[Mapping]] = {}
+        for f in files:
+            by.setdefault(_folder(f), []).append(f)
+        paths, left_out = [], []
+        for folder, own in by.items():
+            gone = state.gone.get(folder, [])
+            if len(own) + len(gone) == own[0].get("of") and len(gone) < len(own) and len(left_out) + len(gone) <= MOST_GONE:
+                paths.append(folder)
+                left_out += gone
+            else:
+                paths += [f["path"] for f in own]
+        return paths, left_out
 
     def properties(self) -> dict[str, str]:
         return self.state().properties
@@ -149,15 +177,23 @@ class VersionedTable:
 
     def set_properties(self, **values: str) -> None:
         s = self.state()
-        self._commit(State(s.version + 1, s.schema, s.files, s.properties | values))
+        self._commit(State(s.version + 1, s.schema, s.files, s.properties | values, s.gone))
 
     # writing
 
-    def _write(self, df: DataFrame) -> list[dict]:
-        """Writes rows and returns their files. The bounds of the key are read from what was written, by file."""
+    def _write(self, df: DataFrame, whole: bool = False) -> list[dict]:
+        """Writes rows and returns their files. The bounds of the key are read from what was written, by file.
+
+        A ``whole`` table of small files is counted and cut into as many tasks as there are partitions: their files take the
+        time, not their bytes, by which Spark would join partitions to about one a core, or one more.
+        """
         folder = f"data/{uuid.uuid4().hex}"
         if self.clustered and self.key in df.columns:
-            df = df.repartitionByRange(self.key)
+            many = whole and self.rows_per_file and self.rows_per_file <= self.file_bytes // max(1, row_bytes(df.schema) // 4) // 10
+            n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // self.rows_per_file)) if many else 0
+            df = df.repartitionByRange(n, self.key) if n else df.repartitionByRange(self.key)
+            if not self.sorted_by:
+                df = df.sortWithinPartitions(self.key)  # else the files of a task overlap
         if self.sorted_by:
             df = sorted_for_write(df, self.sorted_by)
         rows = self.rows_per_file or max(10_000, self.file_bytes // max(1, row_bytes(df.schema) // 4))
@@ -172,15 +208,13 @@ class VersionedTable:
         return writer
 
     def _described(self, folder: str, schema: T.StructType) -> list[dict]:
-        sizes = {s.getPath().getName(): s.getLen() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if s.getPath().getName()[:1] not in ("_", ".")}
-        if not sizes:
-            return []
+        """The folder's files that have rows, with their sizes and bounds, by one job."""
         bounded = self.key in schema.names and isinstance(schema[self.key].dataType, (T.StringType, T.LongType, T.IntegerType))
         extremes = [F.min(self.key).alias("low"), F.max(self.key).alias("high")] if bounded else []
-        data = self.spark.read.schema(schema).format(self.file_format).load(f"{self.path}/{folder}").select("*", F.col("_metadata.file_name").alias("__file"))
+        data = self.spark.read.schema(schema).format(self.file_format).load(f"{self.path}/{folder}").select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.file_size").alias("__bytes"))
         # a row per file: as many as the commit's list of files has anyway
-        known = {r["__file"]: r.asDict() for r in data.groupBy("__file").agg(F.count("*").alias("rows"), *extremes).collect()}
-        return [{"path": f"{folder}/{n}", "bytes": b, "rows": known.get(n, {}).get("rows", 0)} | ({"low": known[n]["low"], "high": known[n]["high"]} if bounded and n in known else {}) for n, b in sorted(sizes.items())]
+        found = data.groupBy("__file", "__bytes").agg(F.count("*").alias("rows"), *extremes).collect()
+        return [{"path": f"{folder}/{r['__file']}", "bytes": r["__bytes"], "rows": r["rows"], "of": len(found)} | ({"low": r["low"], "high": r["high"]} if bounded else {}) for r in sorted(found, key=lambda r: r["__file"])]
 
     def create(self, schema: T.StructType, replace: bool = False, properties: Mapping[str, str] | None = None) -> VersionedTable:
         versions = self._versions()
@@ -195,21 +229,21 @@ class VersionedTable:
         s = self.state()
         if extra := missing_fields(s.schema, df.schema):
             raise ValueError(f"the table lacks {[f.name for f in extra]}; migrate it first")
-        return self._commit(State(s.version + 1, s.schema, [*s.files, *self._write(aligned(df, s.schema))], s.properties | properties))
+        return self._commit(State(s.version + 1, s.schema, [*s.files, *self._write(aligned(df, s.schema))], s.properties | properties, s.gone))
 
     def overwrite(self, df: DataFrame, **properties: str) -> State:
         """Replaces rows and schema in one commit; readers of older versions aren't disturbed."""
         versions = self._versions()
         old = self.state(versions[-1]).properties if versions else {}
         schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-        return self._commit(State((versions or [-1])[-1] + 1, schema, self._write(df), old | properties))
+        return self._commit(State((versions or [-1])[-1] + 1, schema, self._write(df, whole=True), old | properties))
 
     def migrate(self, source: T.StructType) -> list[T.StructField]:
         """Adds the source's missing fields; returns them."""
         s = self.state()
         missing = missing_fields(s.schema, source)
         if missing:
-            self._commit(State(s.version + 1, evolved(s.schema, source), s.files, s.properties))
+            self._commit(State(s.version + 1, evolved(s.schema, source), s.files, s.properties, s.gone))
         return missing
 
     def merge(self, source: DataFrame, spec: MergeSpec, small: bool = False, **properties: str) -> State:
@@ -222,7 +256,12 @@ class VersionedTable:
         source = aligned(source, s.schema)
         touched, kept = self._touched(s, source, spec)
         merged = (merge_small_source if small else merge)(self._files(s, touched), source, spec)
-        return self._commit(State(s.version + 1, s.schema, [*kept, *self._write(merged)], s.properties | properties))
+        left = {_folder(f) for f in kept}
+        gone = {folder: list(names) for folder, names in s.gone.items() if folder in left}
+        for f in touched:
+            if _folder(f) in left:
+                gone.setdefault(_folder(f), []).append(f["path"].rsplit("/", 1)[1])
+        return self._commit(State(s.version + 1, s.schema, [*kept, *self._write(merged)], s.properties | properties, gone))
 
     def _touched(self, s: State, source: DataFrame, spec: MergeSpec) -> tuple[list[dict], list[dict]]:
         """Files that may hold a key of the source, and the others."""
@@ -296,6 +335,10 @@ class VersionedTable:
         return found
 
 
+def _folder(file: Mapping) -> str:
+    return file["path"].rsplit("/", 1)[0]
+
+
 def drop_by_prefix(spark: SparkSession, folder: str, prefix: str, parallel: int = 8) -> list[str]:
     """Drops the tables below a folder whose names begin with the prefix, several at a time."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

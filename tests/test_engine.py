@@ -408,6 +408,29 @@ def test_merge_keeps_untouched_files(spark, tmp_path):
     assert t.read().count() == 103 and VersionedTable(spark, f"file://{tmp_path}/e", clustered=True).create(rows.schema).merge(rows, m.upsert()).version == 1
 
 
+def test_scans_of_many_files_list_folders(spark, tmp_path):
+    """A version of many files is read by its folders without the files that are gone, and by path where it isn't known which are."""
+    t = VersionedTable(spark, f"file://{tmp_path}/t", rows_per_file=10, clustered=True)
+    rows = spark.range(1000).select(F.format_string("%04d", (F.col("id") * 7) % 1000).alias("merge_key"), F.lit(1).cast("long").alias("createdon"))
+    t.overwrite(rows)
+    bounds = sorted((f["low"], f["high"]) for f in t.state().files)
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:])), "files of a clustered table overlap"
+    change = lambda key, version: t.merge(spark.createDataFrame([(key, version)], "merge_key string, createdon long"), m.upsert())
+    for n, key in enumerate(("0500", "0500", "0007", "1000")):
+        change(key, n + 2)
+        state = t.state()
+        paths, gone = t._scanned(state, state.files)
+        assert len(paths) <= n + 2 and len(gone) <= 2
+        assert t.read().count() == len({r.merge_key for r in t.read().collect()}) == (1001 if key == "1000" else 1000)
+        assert t.read().where(f"merge_key = '{key}'").first().createdon == n + 2
+    t.set_properties(p="1")
+    t.append(rows.limit(0))
+    assert t.read().count() == 1001 and t.read(0).count() == 1000
+    state = t.state()
+    t._commit(type(state)(state.version + 1, state.schema, state.files, state.properties))
+    assert len(t._scanned(t.state(), t.state().files)[0]) > 90 and t.read().count() == 1001
+
+
 def test_throttle_and_shapes(spark, tmp_path):
     from millrace.streaming.throughput import ESTIMATES, Shaper, Throttle
 
