@@ -144,7 +144,7 @@ class VersionedTable:
 
     def _files(self, state: State, files: Sequence[Mapping]) -> DataFrame:
         if not files:
-            return self.spark.createDataFrame([], state.schema)
+            return self.spark.createDataFrame([], state.schema).limit(0)  # which the optimiser knows to be empty
         paths, gone = self._scanned(state, files)
         found = self.spark.read.schema(state.schema).format(self.file_format).load([f"{self.path}/{p}" for p in paths])
         return found.where(~F.col("_metadata.file_name").isin(gone)) if gone else found
@@ -196,10 +196,32 @@ class VersionedTable:
                 df = df.sortWithinPartitions(self.key)  # else the files of a task overlap
         if self.sorted_by:
             df = sorted_for_write(df, self.sorted_by)
-        rows = self.rows_per_file or max(10_000, self.file_bytes // max(1, row_bytes(df.schema) // 4))
+        rows = self.file_rows(df.schema)
         self._writer(df, rows).option("maxRecordsPerFile", rows).save(f"{self.path}/{folder}")
         return self._described(folder, df.schema)
 
+    def file_rows(self, schema: T.StructType) -> int:
+        return self.rows_per_file or max(10_000, self.file_bytes // max(1, row_bytes(schema) // 4))
+
+    def ranges(self, most: int) -> list[tuple[DataFrame, int, list[tuple]]] | None:
+        """The rows in parts of whole files of about ``most`` rows, each with its number of rows and the bounds of its files' keys.
+
+        Parts have keys that lie side by side, and no key but null is in two. None where files' bounds aren't known or overlap.
+        """
+        s = self.state()
+        if any("low" not in f for f in s.files):
+            return None
+        bounded = sorted((f for f in s.files if f["low"] is not None), key=lambda f: (f["low"], f["high"]))
+        if any(a["high"] >= b["low"] for a, b in zip(bounded, bounded[1:])):
+            return None
+        parts: list[list[dict]] = []
+        for f in [*(f for f in s.files if f["low"] is None), *bounded]:
+            if parts and sum(x["rows"] for x in parts[-1]) + f["rows"] <= most:
+                parts[-1].append(f)
+            else:
+                parts.append([f])
+        return [(self._files(s, p), sum(f["rows"] for f in p), [(f["low"], f["high"]) for f in p if f["low"] is not None]) for p in parts]
+
     def _writer(self, df: DataFrame, rows: int) -> DataFrameWriter:
         """Writes with the table's Bloom filters, made for ``rows`` rows a file: without a number, each takes 1 MB in the smallest file."""
         writer = df.write.format(self.file_format)
@@ -246,15 +268,16 @@ class VersionedTable:
             self._commit(State(s.version + 1, evolved(s.schema, source), s.files, s.properties, s.gone))
         return missing
 
-    def merge(self, source: DataFrame, spec: MergeSpec, small: bool = False, **properties: str) -> State:
+    def merge(self, source: DataFrame, spec: MergeSpec, small: bool = False, within: Sequence[tuple] | None = None, **properties: str) -> State:
         """Merges a source of one row per key. Files whose keys lie outside of all the source's are kept as they are.
 
         Up to MOST_KEYS keys of the source are held against the files' bounds; a clustered table, whose files are ranges of
-        keys, then rewrites no more files than there are keys. Rows of the source that meet no file become new ones.
+        keys, then rewrites no more files than there are keys. Rows of the source that meet no file become new ones. Of a larger
+        source, ``within`` (bounds, all of whose keys that aren't null lie in one of them) tells which files it may meet.
         """
         s = self.state()
         source = aligned(source, s.schema)
-        touched, kept = self._touched(s, source, spec)
+        touched, kept = self._touched(s, source, spec, within)
         merged = (merge_small_source if small else merge)(self._files(s, touched), source, spec)
         left = {_folder(f) for f in kept}
         gone = {folder: list(names) for folder, names in s.gone.items() if folder in left}
@@ -263,10 +286,13 @@ class VersionedTable:
                 gone.setdefault(_folder(f), []).append(f["path"].rsplit("/", 1)[1])
         return self._commit(State(s.version + 1, s.schema, [*kept, *self._write(merged)], s.properties | properties, gone))
 
-    def _touched(self, s: State, source: DataFrame, spec: MergeSpec) -> tuple[list[dict], list[dict]]:
+    def _touched(self, s: State, source: DataFrame, spec: MergeSpec, within: Sequence[tuple] | None = None) -> tuple[list[dict], list[dict]]:
         """Files that may hold a key of the source, and the others."""
         if spec.key != self.key or any("low" not in f for f in s.files):
             return s.files, []
+        if within is not None:
+            near = lambda f: f["low"] is not None and any(low <= f["high"] and f["low"] <= high for low, high in within)
+            return [f for f in s.files if near(f)], [f for f in s.files if not near(f)]
         # bounded: a larger source meets nearly every file anyway
         keys = sorted(r[0] for r in source.select(self.key).where(F.col(self.key).isNotNull()).limit(MOST_KEYS + 1).collect())
         if len(keys) > MOST_KEYS:

@@ -15,7 +15,7 @@ from millrace.functions.sizing import jittered_seconds
 from millrace.operators.merge import MergeSpec
 from millrace.operators.reduce import has_rows, latest_per_key
 from millrace.operators.select import FieldRule, select_fields
-from millrace.operators.table import VersionedTable
+from millrace.operators.table import MOST_KEYS, VersionedTable
 from millrace.streaming.maintenance import Maintenance
 from millrace.streaming.metrics import Metrics
 from millrace.streaming.throughput import Shaper, Throttle, chunks
@@ -29,7 +29,8 @@ class Pipeline:
     """How changesets become the target: the merge, the version column and its ties, the fields, the upkeep.
 
     With ``staging`` (a path that names of tables are added to) the reduced changeset is written there first, so that it is
-    computed once, and its table is disposed of after the merge. ``shaper`` cuts it into chunks, ``throttle`` spaces them.
+    computed once, and its table is disposed of after the merge. ``shaper`` cuts it into chunks, ``throttle`` spaces them. Chunks
+    of a staged changeset are ranges of its keys, so that each reads its own files and, of a clustered target, rewrites those of its range.
     """
 
     target: VersionedTable
@@ -57,7 +58,9 @@ class Pipeline:
             return False
         properties = ({PROPERTY: watermark.to_json()} if watermark else {}) | ({BATCH: str(batch)} if batch is not None else {})
         reduced = latest_per_key(select_fields(changes, self.rule, keep_essential=True), self.spec.key, self.version, self.ties)
-        staged = VersionedTable(reduced.sparkSession, f"{self.staging}{uuid.uuid4().hex}", key=self.spec.key) if self.staging else None
+        staged = VersionedTable(reduced.sparkSession, f"{self.staging}{uuid.uuid4().hex}", key=self.spec.key, clustered=True) if self.staging else None
+        if staged and self.shaper:
+            staged.rows_per_file = min(staged.file_rows(reduced.schema), self.shaper.advised.chunk)
         try:
             if staged:
                 with self.metrics.timed("batch.stage_duration"):
@@ -73,12 +76,12 @@ class Pipeline:
             if self.migrates:
                 self.target.migrate(reduced.schema)
             shape = self.shaper.shape(self.target) if self.shaper and n else None
-            parts = list(chunks(reduced, self.spec.key, n, shape.chunk)) if shape else [reduced]
-            for k, part in enumerate(parts):
+            parts = self._parts(staged, reduced, n, shape.chunk) if shape else [(reduced, n, None)]
+            for k, (part, rows, within) in enumerate(parts):
                 if self.throttle and n:
-                    self.metrics.gauge("batch.throttled_duration", 1000 * self.throttle.take(n // len(parts)))
+                    self.metrics.gauge("batch.throttled_duration", 1000 * self.throttle.take(rows))
                 with self.metrics.timed("batch.merge_duration"):
-                    self.target.merge(part, self.spec, self.small_source, **(properties if k == len(parts) - 1 else {}))
+                    self.target.merge(part, self.spec, self.small_source, within, **(properties if k == len(parts) - 1 else {}))
             if shape:
                 self.metrics.gauge("rows.chunk_size", shape.chunk)
         finally:
@@ -93,6 +96,16 @@ class Pipeline:
         return True
 
 
+    def _parts(self, staged: VersionedTable | None, reduced: DataFrame, n: int, most: int) -> list[tuple[DataFrame, int, list[tuple] | None]]:
+        """Chunks with their rows and, of more keys than merge() looks up, their bounds: by ranges of the staged keys, else by hashes."""
+        found = staged.ranges(most) if staged else None
+        parts = []
+        for df, rows, bounds in found if found is not None else [(reduced, n, None)]:
+            cut = list(chunks(df, self.spec.key, rows, most))
+            parts += [(c, rows // len(cut), bounds if bounds is not None and rows // len(cut) > MOST_KEYS else None) for c in cut]
+        return parts
+
+
 def run_files(pipeline: Pipeline, stream: DataFrame, checkpoint: str, once: bool = True, interval: str = "10 seconds") -> StreamingQuery:
     """A streaming source into the target; ``once`` takes what is there, in micro-batches of the source's rate limit, and ends."""
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, number: pipeline.apply(df, batch=number) and None)

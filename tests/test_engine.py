@@ -431,6 +431,40 @@ def test_scans_of_many_files_list_folders(spark, tmp_path):
     assert len(t._scanned(t.state(), t.state().files)[0]) > 90 and t.read().count() == 1001
 
 
+def test_chunks_rewrite_their_ranges(spark, tmp_path, monkeypatch):
+    """Chunks of a staged changeset are ranges of keys: all together, they rewrite each row of the target about once, however many they are."""
+    import millrace.operators.table as tables
+    import millrace.streaming.pipeline as pipelines
+    from millrace.streaming.throughput import Shaper
+
+    monkeypatch.setattr(pipelines, "MOST_KEYS", 5, raising=False)
+    monkeypatch.setattr(tables, "MOST_KEYS", 5)
+    touched, plain = [], VersionedTable._touched
+
+    def counted(self, *a, **more):
+        found = plain(self, *a, **more)
+        touched.append(sum(f["rows"] for f in found[0]))
+        return found
+
+    monkeypatch.setattr(VersionedTable, "_touched", counted)
+    t = VersionedTable(spark, f"file://{tmp_path}/t", rows_per_file=20, clustered=True)
+    rows = spark.range(200).select(F.when(F.col("id") > 0, F.format_string("%03d", (F.col("id") * 7) % 200)).alias("merge_key"), F.lit(1).cast("long").alias("createdon"))
+    t.create(rows.schema)
+    pipeline = Pipeline(t, m.upsert(), "createdon", staging=f"file://{tmp_path}/staged__", shaper=Shaper("static", sizing.Shape(20, 100, 10)))
+    pipeline.apply(rows)
+    assert len(touched) >= 10 and sum(touched) == 0 and t.read().count() == 200 and t.read().where("merge_key IS NULL").count() == 1
+    touched.clear()
+    pipeline.apply(rows.where("merge_key IS NOT NULL").withColumn("createdon", F.lit(2).cast("long")))
+    assert len(touched) >= 10 and sum(touched) <= 600  # files at the ends of a range are rewritten by both of its neighbours
+    assert sorted(map(tuple, t.read().collect()), key=repr) == sorted([(None, 1), *((f"{k:03d}", 2) for k in range(1, 200))], key=repr)
+    staged = VersionedTable(spark, f"file://{tmp_path}/s", rows_per_file=60, clustered=True)
+    staged.overwrite(rows)
+    parts = pipeline._parts(staged, staged.read(), 200, 20)
+    assert len(parts) >= 10 and sorted((r.merge_key for p, _, _ in parts for r in p.collect()), key=repr) == sorted((r.merge_key for r in rows.collect()), key=repr)
+    staged.append(rows.limit(50))
+    assert staged.ranges(20) is None
+
+
 def test_throttle_and_shapes(spark, tmp_path):
     from millrace.streaming.throughput import ESTIMATES, Shaper, Throttle
 
